@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import exact_dedup
+from quern.llm import bpe, exact_dedup
 from quern.session import read_table
 
+#: Where the vocabulary files of public tokenizers are; a parameter of every operator that needs one.
+TOKENIZERS = os.environ.get("QUERN_TOKENIZERS", "/opt/tokenizers")
+
+
+def tokenizer_path(name: str) -> str:
+    """The installed package's path where there is one, else the folder above."""
+    try:
+        import public_tokenizers
+
+        return public_tokenizers.path(name)
+    except ModuleNotFoundError:
+        return f"{TOKENIZERS}/{name}"
+
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -31,3 +47,8 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(c) AS text_
 @_put("op4_exact_dedup", _OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_put("op7_bpe_round_trip")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
