@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, exact_dedup, packing
+from quern.llm import bpe, exact_dedup, packing, tiff
 from quern.session import read_table
 
 #: Where the vocabulary files of public tokenizers are; a parameter of every operator that needs one.
@@ -57,3 +57,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_put("op8_best_fit_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+@_put("op9_tiff_media")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.store_and_read(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
