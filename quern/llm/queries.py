@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, exact_dedup, packing, tiff
+from quern.llm import bpe, exact_dedup, packing, tiff, warc
 from quern.session import read_table
 
 #: Where the vocabulary files of public tokenizers are; a parameter of every operator that needs one.
@@ -62,3 +62,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_put("op9_tiff_media")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.store_and_read(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_OP6_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+r AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS d, CASE WHEN octet_length(b) >= 1000 THEN max(page_id) OVER (PARTITION BY b) ELSE page_id END AS best FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN best = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN best <> page_id THEN best END AS refers_to FROM r
+"""
+
+
+@_put("op6_warc_round_trip", _OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
