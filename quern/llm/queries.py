@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, exact_dedup, packing, tiff, warc
+from quern.llm import bpe, chat, exact_dedup, packing, tiff, warc
 from quern.session import read_table
 
 #: Where the vocabulary files of public tokenizers are; a parameter of every operator that needs one.
@@ -74,3 +74,23 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN best = page_i
 @_put("op6_warc_round_trip", _OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+_OP5_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(\||/?s>|/?<?SYS>>|</SYS>>|(start|end)_of_turn>)', '<\\\1', 'g'), '\[(/?(INST|SYSTEM_PROMPT|AVAILABLE_TOOLS|TOOL_RESULTS|TOOL_CALLS)\])', '[\\\1', 'g') AS safe FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(role) + length(safe) + 17)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@_put("op5_chat_format", _OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return chat.digests(rows.unionByName(planted))
