@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, chat, exact_dedup, packing, tiff, warc
+from quern.llm import bpe, chat, exact_dedup, packing, tiff, token_store, warc
 from quern.session import read_table
 
 #: Where the vocabulary files of public tokenizers are; a parameter of every operator that needs one.
@@ -94,3 +94,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     planted = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
     return chat.digests(rows.unionByName(planted))
+
+
+@_put("op3_token_store")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), end_id=2)

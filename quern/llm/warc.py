@@ -28,25 +28,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.files import open_shared
 from quern.session import materialize, scratch, ship
 
 _BLOCK = 1 << 18
 _CRLF = b"\r\n"
 
 
-# --- files in the shared folder, by URI ---
-
-
-def _open(uri: str, write: bool):
-    from pyarrow import fs
-
-    where, path = fs.FileSystem.from_uri(uri)
-    if write:
-        where.create_dir(path.rpartition("/")[0], recursive=True)
-        return where.open_output_stream(path, compression=None)
-    return where.open_input_stream(path, compression=None)
-
-
 # --- records ---
 
 
@@ -181,7 +169,7 @@ def write_archives(rows: DataFrame, folder: str, key: str = "page_id", uri: str
         for b in batches:
             for page_id, url, html, other in zip(b["page_id"].astype("object"), b["url"], b["html"], b["refers_to"].astype("object")):
                 if out is None:
-                    out = _open(path, True)
+                    out = open_shared(path, True)
                 name = lambda k: f"urn:page:{'' if pd.isna(k) else int(k)}"
                 kind = "response" if pd.isna(other) else "revisit"
                 data = member(record(kind, name(page_id), url or "", date, (html or "").encode("utf-8"), None if kind == "response" else name(other)), level)
@@ -213,7 +201,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 rows: list[tuple] = []
                 held = k = 0
                 try:
-                    with _open(path, False) as f:
+                    with open_shared(path) as f:
                         for k, r in enumerate(read_records(f), 1):
                             h, p = r["head"], r["payload"]
                             label = h.get("warc-payload-digest", sha1_label(p))
