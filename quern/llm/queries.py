@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, chat, exact_dedup, packing, tiff, token_store, warc
+from quern.llm import bpe, chat, exact_dedup, near_dedup, packing, tiff, token_store, warc
 from quern.session import read_table
 
 #: Where the vocabulary files of public tokenizers are; a parameter of every operator that needs one.
@@ -99,3 +99,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_put("op3_token_store")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
+
+
+@_put("op1_near_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), words=2, percent=80)
