@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, chat, exact_dedup, near_dedup, packing, tiff, token_store, warc
+from quern.llm import bpe, chat, exact_dedup, html_text, near_dedup, packing, tiff, token_store, warc
 from quern.session import read_table
 
 #: Where the vocabulary files of public tokenizers are; a parameter of every operator that needs one.
@@ -104,3 +104,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_put("op1_near_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), words=2, percent=80)
+
+
+@_put("op10_html_text")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
