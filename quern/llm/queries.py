@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, chat, exact_dedup, html_text, near_dedup, packing, tiff, token_store, warc
+from quern.llm import bpe, chat, exact_dedup, html_text, near_dedup, packing, quality, tiff, token_store, warc
 from quern.session import read_table
 
 #: Where the vocabulary files of public tokenizers are; a parameter of every operator that needs one.
@@ -109,3 +109,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_put("op10_html_text")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@_put("op2_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), read_table(spark, sf_dir, "labels"))
