@@ -148,39 +148,50 @@ def read_records(file) -> Iterator[dict]:
 
 
 def mark_revisits(rows: DataFrame, key: str, content: str, min_bytes: int) -> DataFrame:
-    """Adds refers_to (key of the response, null for responses) to key and content."""
+    """Adds refers_to (key of the response, null for responses). Contents travel once, and only to meet their own mark."""
     data = F.coalesce(F.col(content), F.lit("")).cast("binary")
-    keyed = rows.withColumns({"__sha1": F.sha1(data), "__sha2": F.sha2(data, 256), "__size": F.octet_length(data)})
-    best = keyed.where(F.col("__size") >= min_bytes).groupBy("__sha1", "__sha2", "__size").agg(F.max(key).alias("__best"), F.count(F.lit(1)).alias("__n"))
-    best = best.where("__n > 1")
-    out = keyed.join(best, ["__sha1", "__sha2", "__size"], "left")
-    return out.withColumn("refers_to", F.when(~F.col(key).eqNullSafe(F.col("__best")), F.col("__best"))).drop("__sha1", "__sha2", "__size", "__best", "__n")
+    keyed = rows.withColumns({"__sha1": F.unhex(F.sha1(data)), "__sha2": F.unhex(F.sha2(data, 256)), "__size": F.octet_length(data)})
+    same = ["__sha1", "__sha2", "__size"]
+    light = keyed.select(key, *same).where(F.col("__size") >= min_bytes)
+    best = light.groupBy(*same).agg(F.max(key).alias("__best"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    marks = light.join(best, same).where(~F.col(key).eqNullSafe(F.col("__best"))).select(F.col(key).alias("__key"), F.col("__sha2").alias("__of"), F.col("__best").alias("refers_to")).distinct()
+    return keyed.join(marks, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__sha2") == F.col("__of")), "left").drop(*same, "__key", "__of")
 
 
-def write_archives(rows: DataFrame, folder: str, key: str = "page_id", uri: str = "url", content: str = "html", min_bytes: int = 1000, files: int | None = None, level: int = 6, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Writes one record a row; the manifest (path, records, bytes), already written and read again."""
+def write_archives(rows: DataFrame, folder: str, key: str = "page_id", uri: str = "url", content: str = "html", min_bytes: int = 1000, files: int | None = None, level: int = 6, date: str = "2024-01-01T00:00:00Z", max_bytes: int = 1 << 28) -> DataFrame:
+    """Writes one record a row; the manifest (path, records, bytes), already written and read again.
+
+    A task writes one archive, and begins another after ``max_bytes``; ``files`` deals rows out anew.
+    """
     spark = rows.sparkSession
     ship(spark)
-    files = files or max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     marked = mark_revisits(rows.select(F.col(key).cast("bigint").alias("page_id"), F.col(uri).alias("url"), F.col(content).alias("html")), "page_id", "html", min_bytes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        path, out, n, size = f"{folder}/part-{uuid.uuid4().hex}.warc.gz", None, 0, 0
+        path, out, n, size = "", None, 0, 0
+        name = lambda k: f"urn:page:{'' if pd.isna(k) else int(k)}"
+        done = lambda: pd.DataFrame({"path": [path], "records": [n], "bytes": [size]})
         for b in batches:
             for page_id, url, html, other in zip(b["page_id"].astype("object"), b["url"], b["html"], b["refers_to"].astype("object")):
                 if out is None:
+                    path, n, size = f"{folder}/part-{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = open_shared(path, True)
-                name = lambda k: f"urn:page:{'' if pd.isna(k) else int(k)}"
                 kind = "response" if pd.isna(other) else "revisit"
                 data = member(record(kind, name(page_id), url or "", date, (html or "").encode("utf-8"), None if kind == "response" else name(other)), level)
                 out.write(data)
                 n, size = n + 1, size + len(data)
+                if size >= max_bytes:
+                    out.close()
+                    out = None
+                    yield done()
         if out is not None:
             out.close()
-            yield pd.DataFrame({"path": [path], "records": [n], "bytes": [size]})
+            yield done()
 
-    written = marked.select("page_id", "url", "html", "refers_to").repartition(files, F.xxhash64("page_id", "url")).mapInPandas(run, "path string, records long, bytes long")
-    return materialize(written, "warc-manifest")
+    marked = marked.select("page_id", "url", "html", "refers_to")
+    if files:
+        marked = marked.repartition(files, F.xxhash64("page_id", "url"))
+    return materialize(marked.mapInPandas(run, "path string, records long, bytes long"), "warc-manifest")
 
 
 RECORDS = "path string, ordinal long, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary, error string"
