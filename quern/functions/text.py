@@ -118,7 +118,7 @@ def candidate_key(qid: Column | str, base: Column | str, attempt: Column | str)
 
 def format_alpha(alpha: Column | str) -> Column:
     """The shortest plain form: 1, 0.5, 0.05."""
-    return F.regexp_replace(F.format_number(_c(alpha), "0.######"), ",", "")
+    return F.regexp_replace(F.format_string("%.6f", _c(alpha)), r"\.?0+$", "")
 
 
 def render_turns(turn: Column | str, role: Column | str, text: Column | str, opening: str = "<|im_start|>", closing: str = "<|im_end|>\n") -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 SCHEMA_VERSION = 1
 
-_DDL = {
+#: DDL of each record table.
+SCHEMAS: dict[str, str] = {
     "question": "qid string, question string, final_answer string, domain string, meta map<string,string>",
     "rollout": "qid string, sample_idx int, prompt_text string, prompt_token_ids array<int>, response_text string, response_token_ids array<int>, finish_reason string, gen struct<temperature:double,top_p:double,max_tokens:int,seed:bigint>, model_path string, iter int",
     "verdict": "qid string, sample_idx int, correct boolean, extracted_answer string, verifier string, meta map<string,string>",
@@ -20,7 +20,6 @@ _DDL = {
     "dpo_example": "uid string, qid string, prompt_token_ids array<int>, chosen_token_ids array<int>, rejected_token_ids array<int>, prompt_text string, chosen_text string, rejected_text string, iter_created int",
     "graded_sample": "qid string, sample_idx int, correct boolean, formatted boolean, extracted string, finish_reason string, n_tokens int, response_text string, raw_correct boolean",
 }
-SCHEMAS: dict[str, StructType] = {k: StructType.fromDDL(v) for k, v in _DDL.items()}
 DEFAULTS = {"question": {"domain": "math"}, "solved": {"source": "rollout"}}
 REQUIRED = {"question": ("qid", "question", "final_answer"), "rollout": ("qid", "sample_idx"), "verdict": ("qid", "sample_idx", "correct"), "candidate": ("qid", "attempt_idx")}
 
