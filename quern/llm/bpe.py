@@ -18,6 +18,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,25 +39,29 @@ def byte_letters() -> list[str]:
     return [table[b] for b in range(256)]
 
 
-class TwoGenerationCache:
-    """A dict of at most 2 * ``limit`` entries; what was used since the last turnover survives it."""
+class TwoGenerationCache(dict):
+    """A dict that makes missing values. Two generations of ``limit`` entries are held at most; ``turn``,
+    called between texts, starts a new generation when the present one is full, and what is used goes along."""
 
-    def __init__(self, make, limit: int = 400_000):
-        self.make, self.limit, self.old, self.new = make, limit, {}, {}
+    def __init__(self, make, limit: int = 500_000):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
 
-    def fill(self, keys: list[str]) -> dict:
-        """A dict that has all ``keys``."""
-        new, old, make = self.new, self.old, self.make
-        for k in set(keys).difference(new):
-            v = old.get(k)
-            new[k] = make(k) if v is None else v
-        if len(new) > self.limit:
-            self.old, self.new = new, {}
-        return new
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
 
 
 class ForcedBoundaryBPE:
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 500_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -66,7 +71,8 @@ class ForcedBoundaryBPE:
         model = spec["model"]
         self.vocab, self.end = model["vocab"], model["end_of_word_suffix"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
-        self.ranks = {p: i for i, p in enumerate(pairs)}
+        self.ranks = {self.vocab[a] << 32 | self.vocab[b]: i for i, (a, b) in enumerate(pairs)}
+        self.merged = [self.vocab[a + b] for a, b in pairs]
         self.letters = byte_letters()
         self.tokens = {i: t for t, i in self.vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -77,7 +83,7 @@ class ForcedBoundaryBPE:
             t = t.removesuffix(self.end)
             inside.update(zip(t, t[1:]))
         self.inside = inside
-        self._fragments = TwoGenerationCache(self._merge, cache)
+        self._fragments = TwoGenerationCache(self._merge, cache // 2)
         self._pieces = TwoGenerationCache(self._piece, cache)
         self._packed = TwoGenerationCache(lambda p: array.array("I", self._piece(p)).tobytes(), cache)
 
@@ -88,19 +94,26 @@ class ForcedBoundaryBPE:
             if part in self.special:
                 out.append(self.special[part])
             else:
-                part = part.lower() if part.isascii() else self._normalizer.normalize_str(part)
-                for w in self._word.findall(part):
+                for w in self._words(part):
                     out += self.word(w)
         return tuple(out)
 
-    def word(self, word: str) -> list[int]:
+    def _words(self, part: str) -> list[str]:
+        if part.isascii() or (max(part) < "\u0250" and "\u0130" not in part):
+            # Below U+0250 every text is in normal form C and lower case is one letter for one letter.
+            part = part.lower()
+            return [part] if part.isalpha() else self._word.findall(part)
+        return self._word.findall(self._normalizer.normalize_str(part))
+
+    def word(self, word: str) -> tuple[int, ...]:
         letters = word if word.isalpha() and word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-        cuts, inside, last, out = self.cuts(letters), self._fragments, 0, []
-        for at in [*cuts, len(letters)]:
-            key = letters[last:at] + self.end if at == len(letters) else letters[last:at]
-            out += inside.new.get(key) or inside.fill([key])[key]
+        if self.inside.issuperset(zip(letters, letters[1:])):
+            return self._fragments[letters + self.end]
+        last, out = 0, []
+        for at in self.cuts(letters):
+            out += self._fragments[letters[last:at]]
             last = at
-        return out
+        return (*out, *self._fragments[letters[last:] + self.end])
 
     def cuts(self, letters: str) -> list[int]:
         """Places between two letters that no vocabulary token has next to each other."""
@@ -109,61 +122,60 @@ class ForcedBoundaryBPE:
 
     def _merge(self, key: str) -> tuple[int, ...]:
         """Ranked merging of one fragment; ``key`` ends with the word-end mark if the fragment ends its word."""
-        if key in self.vocab and not self.ranks:
-            return (self.vocab[key],)
         if key.endswith(self.end) and len(key) > len(self.end):
-            body = key[: -len(self.end)]
-            parts = [*body[:-1], body[-1] + self.end]
+            at = len(key) - len(self.end) - 1
+            parts = [*map(self.vocab.__getitem__, key[:at]), self.vocab[key[at:]]]
         else:
-            parts = list(key)
+            parts = list(map(self.vocab.__getitem__, key))
         if len(parts) > 64:
             return self._merge_long(parts)
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get((parts[i], parts[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(map(self.vocab.__getitem__, parts))
-
-    def _merge_long(self, parts: list[str]) -> tuple[int, ...]:
+        rank, none = self.ranks.get, 1 << 30
+        order = [rank(a << 32 | b, none) for a, b in zip(parts, parts[1:])]
+        while order and (best := min(order)) < none:
+            i = order.index(best)
+            parts[i] = new = self.merged[best]
+            del parts[i + 1], order[i]
+            if i:
+                order[i - 1] = rank(parts[i - 1] << 32 | new, none)
+            if i < len(order):
+                order[i] = rank(new << 32 | parts[i + 1], none)
+        return tuple(parts)
+
+    def _merge_long(self, parts: list[int]) -> tuple[int, ...]:
         """The same order of merges (rank, then place) with a heap and links: n log n for long runs."""
         import heapq
 
-        ranks, n = self.ranks, len(parts)
+        rank, n = self.ranks.get, len(parts)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank(parts[i] << 32 | parts[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i]
             if parts[i] != a or j < 0 or parts[j] != b:
                 continue
-            parts[i], parts[j] = a + b, ""
+            parts[i], parts[j] = self.merged[r], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for x in (before[i], i):
-                if x >= 0 and after[x] >= 0 and (r := ranks.get((parts[x], parts[after[x]]))) is not None:
+                if x >= 0 and after[x] >= 0 and (r := rank(parts[x] << 32 | parts[after[x]])) is not None:
                     heapq.heappush(heap, (r, x, parts[x], parts[after[x]]))
-        return tuple(self.vocab[p] for p in parts if p)
+        return tuple(p for p in parts if p >= 0)
 
     def split(self, text: str) -> list[str]:
         return [p for p in _SPACES.split(text) if p] if _ODD.search(text) else text.split()
 
     def encode(self, text: str | None) -> list[int]:
-        pieces = self.split(text or "")
-        got = self._pieces.fill(pieces)
-        return [i for p in pieces for i in got[p]]
+        self._pieces.turn()
+        self._fragments.turn()
+        return list(chain.from_iterable(map(self._pieces.__getitem__, self.split(text or ""))))
 
     def encode_packed(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        pieces = self.split(text or "")
-        return b"".join(map(self._packed.fill(pieces).__getitem__, pieces))
+        self._packed.turn()
+        self._fragments.turn()
+        return b"".join(map(self._packed.__getitem__, self.split(text or "")))
 
     def decode(self, ids: list[int]) -> str:
         """As ``decode(ids, skip_special_tokens=False)`` of a file without a decoder: tokens joined by one space."""
