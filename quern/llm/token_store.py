@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.bpe import TwoGenerationCache
+from quern.llm.bpe import TwoGenerationCache, byte_letters
 from quern.llm.files import open_shared
 from quern.session import materialize, scratch, ship
 
@@ -50,22 +50,42 @@ class ByteLevelEncoder:
         self.size = self.library.get_vocab_size()
         self._model, self._split = self.library.model, self.library.pre_tokenizer
         self._pieces = TwoGenerationCache(self._piece, cache)
+        self._words = TwoGenerationCache(self._word, cache // 2)
+        self._letters = byte_letters()
+        self._space, self._break = self._letters[32], self._letters[10]
+
+    def _word(self, letters: str) -> bytes:
+        """Packed ids of one pre-token in byte letters."""
+        return array.array("I", [t.id for t in self._model.tokenize(letters)]).tobytes()
+
+    def _part(self, part: str, lead: str) -> bytes:
+        """A part without white space, after a space or nothing. Letters and final marks need no pattern."""
+        bare = part.rstrip(".,!?;:")
+        if bare.isalpha():
+            letters = bare if bare.isascii() else "".join(map(self._letters.__getitem__, bare.encode()))
+            mark = part[len(bare) :]
+            return self._words[lead + letters] + self._words[mark] if mark else self._words[lead + letters]
+        return b"".join(self._words[w] for w, _ in self._split.pre_tokenize_str(" " + part if lead else part))
 
     def _piece(self, piece: str) -> bytes:
         """Packed ids of a piece with the space before it; empty where white space makes the cut unsafe."""
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return b""
-        piece = " " + piece
         if "<|" in piece:
-            ids = self.library.encode(piece, add_special_tokens=False).ids
-        else:
-            ids = [t.id for word, _ in self._split.pre_tokenize_str(piece) for t in self._model.tokenize(word)]
-        return array.array("I", ids).tobytes()
+            return array.array("I", self.library.encode(" " + piece, add_special_tokens=False).ids).tobytes()
+        first, *more = piece.split("\n")
+        if all(part and not part[0].isspace() and not part[-1].isspace() for part in (first, *more)):
+            out = self._part(first, self._space)
+            for part in more:  # one line break between other characters is a token of its own
+                out += self._words[self._break] + self._part(part, "")
+            return out
+        return b"".join(self._words[w] for w, _ in self._split.pre_tokenize_str(" " + piece))
 
     def encode_packed(self, text: str | None) -> bytes:
         first, *pieces = (text or "").split(" ")
-        known = self._pieces.fill(pieces)
-        parts = list(map(known.__getitem__, pieces))
+        self._pieces.turn()
+        self._words.turn()
+        parts = list(map(self._pieces.__getitem__, pieces))
         if b"" in parts or first[-1:].isspace() or not first:
             return array.array("I", self.library.encode(text or "", add_special_tokens=False).ids).tobytes()
         return array.array("I", self.library.encode(first, add_special_tokens=False).ids).tobytes() + b"".join(parts)
@@ -210,6 +230,14 @@ class Shard:
         self.grammar = Grammar(part("<u2" if first < 1 << 16 else "<u4", symbols), left, right, sizes, first)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
+    def blocks(self, tokens: int = 1 << 20) -> Iterator[tuple[int, int]]:
+        """Ranges of documents of about so many tokens."""
+        a = 0
+        while a < len(self.starts):
+            z = max(a + 1, int(np.searchsorted(self.starts, self.starts[a] + tokens)))
+            yield a, z
+            a = z
+
     def document(self, k: int) -> np.ndarray:
         return self.grammar.tokens(int(self.starts[k]), int(self.starts[k] + self.lengths[k]))
 
@@ -261,11 +289,13 @@ def read_store(manifest: DataFrame, ids: bool = False) -> DataFrame:
             for path, first in zip(b["path"], b["first_token"]):
                 with open_shared(path) as f:
                     shard = Shard(f.read())
-                for k in range(0, len(shard.doc_ids), 5000):
+                for a, z in shard.blocks():
+                    at = int(shard.starts[a])
+                    block = shard.grammar.tokens(at, int(shard.starts[z - 1] + shard.lengths[z - 1]))
                     rows = []
-                    for d in range(k, min(k + 5000, len(shard.doc_ids))):
-                        tokens = shard.document(d)
-                        row = (shard.doc_ids[d], int(first + shard.starts[d]), len(tokens), zlib.crc32(tokens.astype("<u4").tobytes()))
+                    for d in range(a, z):
+                        tokens = block[int(shard.starts[d]) - at :][: int(shard.lengths[d])]
+                        row = (shard.doc_ids[d], int(first + shard.starts[d]), len(tokens), zlib.crc32(tokens.tobytes()))
                         rows.append((*row, tokens.tolist()) if ids else row)
                     out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
                     yield out.astype({"doc_id": "Int64"})
