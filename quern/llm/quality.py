@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quern.session import materialize, ship
 
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20  # bytes of text that are turned into n-grams at once
 
 
 def ngrams(texts: list[bytes], order: int) -> np.ndarray:
@@ -54,19 +54,21 @@ def ngrams(texts: list[bytes], order: int) -> np.ndarray:
     return out
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    a = size = 0
-    for b, t in enumerate(texts):
-        size += len(t)
-        if size >= _CHUNK:
-            yield a, b + 1
-            a, size = b + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+def _bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _bytes(texts: pd.Series) -> list[bytes]:
-    return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+def _chunks(texts: pd.Series) -> Iterator[tuple[int, list[bytes]]]:
+    """(place of the first, texts as bytes) for runs of texts of about ``_CHUNK`` bytes: only one run is held as bytes."""
+    first, held, size = 0, [], 0
+    for k, t in enumerate(texts):
+        held.append(_bytes(t))
+        size += len(held[-1])
+        if size >= _CHUNK:
+            yield first, held
+            first, held, size = k + 1, [], 0
+    if held:
+        yield first, held
 
 
 class _Counter:
@@ -75,12 +77,21 @@ class _Counter:
     def __init__(self) -> None:
         self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+        self._new: list[tuple[np.ndarray, np.ndarray]] = []
+
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        every, at = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
-        total = np.zeros(len(every), np.int64)
-        np.add.at(total, at[: len(self.keys)], self.counts)
-        np.add.at(total, at[len(self.keys) :], counts)
-        self.keys, self.counts = every, total
+        self._new.append((keys, counts))
+        if len(self._new) >= 8:
+            self.settle()
+
+    def settle(self) -> _Counter:
+        if self._new:
+            counts = np.concatenate([self.counts, *(c for _, c in self._new)])
+            self.keys, at = np.unique(np.concatenate([self.keys, *(k for k, _ in self._new)]), return_inverse=True)
+            self.counts = np.zeros(len(self.keys), np.int64)
+            np.add.at(self.counts, at, counts)
+            self._new.clear()
+        return self
 
 
 def count_table(docs: DataFrame, trusted: DataFrame, order: int, broadcast_ids: int) -> DataFrame:
@@ -89,17 +100,18 @@ def count_table(docs: DataFrame, trusted: DataFrame, order: int, broadcast_ids:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = _Counter()
         for b in batches:
-            texts, learn = _bytes(b["text"]), b["train"].to_numpy()
-            for x, y in _chunks(texts):
+            learn = b["train"].to_numpy()
+            for first, texts in _chunks(b["text"]):
                 for flag in (True, False):
-                    mine = [t for t, f in zip(texts[x:y], learn[x:y]) if f == flag and t]
+                    mine = [t for t, f in zip(texts, learn[first:]) if f == flag and t]
                     if mine:
                         keys, counts = np.unique(ngrams(mine, order), return_counts=True)
                         seen.add(keys, counts if flag else np.zeros(len(keys), np.int64))
             if len(seen.keys) > 2_000_000:
+                seen.settle()
                 yield pd.DataFrame({"g": seen.keys, "c": seen.counts})
                 seen = _Counter()
-        if len(seen.keys):
+        if len(seen.settle().keys):
             yield pd.DataFrame({"g": seen.keys, "c": seen.counts})
 
     ids = trusted.select(F.col("doc_id").alias("__id"), F.lit(True).alias("__train"))
@@ -154,30 +166,30 @@ def scores(docs: DataFrame, table: DataFrame, order: int, block_mb: int) -> Data
     dealt = docs.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")).repartition(blocks, "block")
 
     def ask(key, rows: pd.DataFrame) -> pd.DataFrame:
-        texts = _bytes(rows["text"])
-        found = np.zeros(0, np.int64)
-        for x, y in _chunks(texts):
-            found = np.union1d(found, ngrams([t for t in texts[x:y] if t] or [b""], order))
-        return pd.DataFrame({"block": np.full(len(found), key[0], np.int64), "g": found})
+        found = _Counter()
+        for _, texts in _chunks(rows["text"]):
+            keys = np.unique(ngrams([t for t in texts if t] or [b""], order))
+            found.add(keys, np.zeros(len(keys), np.int64))
+        keys = found.settle().keys
+        return pd.DataFrame({"block": np.full(len(keys), key[0], np.int64), "g": keys})
 
     answers = dealt.groupBy("block").applyInPandas(ask, "block long, g long").join(table, "g").select("block", "g", "nll")
 
     def score(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame({"doc_id": rows["doc_id"], "lang": rows["lang"]})
-        texts = _bytes(rows["text"])
-        sizes = np.array([len(t) for t in texts], np.int64)
-        sums = np.zeros(len(texts))
+        sizes, sums = np.zeros(len(rows), np.int64), np.zeros(len(rows))
         known = known.sort_values("g")
         keys, values = known["g"].to_numpy(), known["nll"].to_numpy()
-        for x, y in _chunks(texts):
-            mine = np.flatnonzero(sizes[x:y]) + x
-            if len(mine):
+        for first, texts in _chunks(rows["text"]):
+            sizes[first : first + len(texts)] = [len(t) for t in texts]
+            mine = [k for k, t in enumerate(texts) if t]
+            if mine:
                 g = ngrams([texts[k] for k in mine], order)
                 at = np.searchsorted(keys, g)
                 if len(keys) == 0 or not np.array_equal(keys[np.minimum(at, len(keys) - 1)], g):
                     raise RuntimeError("an n-gram of the block has no answer")
-                starts = np.cumsum(sizes[mine]) - sizes[mine]
-                sums[mine] = np.add.reduceat(values[at], starts)
+                own = sizes[first:][mine]
+                sums[first + np.array(mine)] = np.add.reduceat(values[at], np.cumsum(own) - own)
         return out.assign(n_bytes=sizes, nll=sums)
 
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, "doc_id long, lang string, n_bytes long, nll double")
