@@ -28,7 +28,7 @@ from quern.session import ship
 
 #: White space as the tokenizer's pattern has it; str.split() also cuts at U+001C to U+001F.
 _SPACES = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 
 
 def byte_letters() -> list[str]:
@@ -85,7 +85,8 @@ class ForcedBoundaryBPE:
         self.inside = inside
         self._fragments = TwoGenerationCache(self._merge, cache // 2)
         self._pieces = TwoGenerationCache(self._piece, cache)
-        self._packed = TwoGenerationCache(lambda p: array.array("I", self._piece(p)).tobytes(), cache)
+        self._packed = TwoGenerationCache(self._pack, cache)
+        self._words_packed = TwoGenerationCache(lambda w: array.array("I", self.word(w)).tobytes(), cache // 2)
 
     # One piece without white space.
     def _piece(self, piece: str) -> tuple[int, ...]:
@@ -98,6 +99,16 @@ class ForcedBoundaryBPE:
                     out += self.word(w)
         return tuple(out)
 
+    def _pack(self, piece: str) -> bytes:
+        """Packed ids of a piece. Letters with final marks are two words of the pattern: no need to search."""
+        if piece.isascii() or (max(piece) < "\u0250" and "\u0130" not in piece):
+            piece = piece.lower()
+            bare = piece.rstrip(".,!?;:")
+            if bare.isalpha():
+                mark = piece[len(bare) :]
+                return self._words_packed[bare] + self._words_packed[mark] if mark else self._words_packed[bare]
+        return array.array("I", self._piece(piece)).tobytes()
+
     def _words(self, part: str) -> list[str]:
         if part.isascii() or (max(part) < "\u0250" and "\u0130" not in part):
             # Below U+0250 every text is in normal form C and lower case is one letter for one letter.
@@ -164,7 +175,7 @@ class ForcedBoundaryBPE:
         return tuple(p for p in parts if p >= 0)
 
     def split(self, text: str) -> list[str]:
-        return [p for p in _SPACES.split(text) if p] if _ODD.search(text) else text.split()
+        return [p for p in _SPACES.split(text) if p] if any(c in text for c in _ODD) else text.split()
 
     def encode(self, text: str | None) -> list[int]:
         self._pieces.turn()
@@ -174,6 +185,7 @@ class ForcedBoundaryBPE:
     def encode_packed(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         self._packed.turn()
+        self._words_packed.turn()
         self._fragments.turn()
         return b"".join(map(self._packed.__getitem__, self.split(text or "")))
 
