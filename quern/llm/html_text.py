@@ -1,9 +1,9 @@
 """Main text of HTML pages by wrapper induction.
 
-A few reference pages of each host (the ``references`` with the smallest hash: bounded, and the same
-whatever the partitioning) are parsed and merged, by simple tree matching, into the host's template tree.
-Then *all* pages of the host are aligned with that template and the texts found at its nodes are
-counted, pre-aggregated in each task. A node whose most frequent text is on at least ``constant`` of the pages
+The distinct layouts (trees without texts) of *all* pages of a host are merged, by simple tree matching, into
+partial templates, dealt by hash so that a hot host is spread over ``salts`` tasks, and those into the host's
+template tree: every layout has its nodes in it, whatever the partitioning. Then all pages of the host are
+aligned with that template and the texts found at its nodes are counted, pre-aggregated in each task. A node whose most frequent text is on at least ``constant`` of the pages
 that have the node is template; nodes that vary are slots, and slots hold content. Elements that
 say what they are (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts)
 are left out on every page. Where a page marks its article (``article``, else ``main``), the article is
@@ -17,7 +17,7 @@ Pages with a null or odd url share one host. Rows that repeat a page_id are sepa
 from __future__ import annotations
 
 import html as entities
-import pickle
+import json
 import re
 import zlib
 from collections import Counter
@@ -149,6 +149,10 @@ def match(a, b) -> tuple[int, list]:
     if _key(a) != _key(b):
         return 0, []
     x, y = a.children, b.children
+    if x and y:  # what has no counterpart of its kind can't be matched
+        kinds, others = {_key(c) for c in x}, {_key(c) for c in y}
+        if kinds != others:
+            x, y = [c for c in x if _key(c) in others], [c for c in y if _key(c) in kinds]
     if not x or not y:
         return 1, [(a, b)]
     if len(x) == len(y) and all(_key(p) == _key(q) and not p.children and not q.children for p, q in zip(x, y)):
@@ -213,6 +217,16 @@ def merge(template: Slot, page: Node) -> None:
         add(template, page)
 
 
+def numbered(template: Slot) -> Slot:
+    todo, number = [template], 0
+    while todo:
+        slot = todo.pop()
+        slot.number = number
+        number += 1
+        todo += reversed(slot.children)
+    return template
+
+
 def induce(pages: list[str]) -> Slot:
     template = None
     for p in pages:
@@ -221,13 +235,25 @@ def induce(pages: list[str]) -> Slot:
             template = Slot(tree)
         else:
             merge(template, tree)
-    todo, number = [template], 0
-    while todo:
-        slot = todo.pop()
-        slot.number = number
-        number += 1
-        todo += reversed(slot.children)
-    return template
+    return numbered(template)
+
+
+def layout(node) -> str:
+    """A tree of nodes or slots without its texts; ``from_layout`` reads it."""
+
+    def nested(x) -> list:
+        return [x.tag, x.name, *map(nested, x.children)]
+
+    return json.dumps(nested(node), separators=(",", ":"))
+
+
+def from_layout(text: str) -> Slot:
+    def slot(x: list) -> Slot:
+        out = Slot(Node(x[0], x[1]))
+        out.children = [slot(c) for c in x[2:]]
+        return out
+
+    return slot(json.loads(text))
 
 
 def _clean(parts: list[str]) -> str:
@@ -315,32 +341,49 @@ def extract(html: str | None, template: Slot | None = None, constant: frozenset[
 # --- DataFrame operator ---
 
 
-def main_text(pages: DataFrame, references: int = 8, constant: float = 0.5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, salts: int = 64, constant: float = 0.5, broadcast_bytes: int = 8 << 20, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     ship(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"), host.alias("host"))
 
-    # References: the pages with the smallest hashes. Keys are chosen first, so that texts don't travel.
-    order = F.struct(F.xxhash64("page_id", "url", F.lit(7)).alias("h"), "page_id", "url")
-    salted = rows.groupBy("host", F.pmod(F.xxhash64("url", "page_id"), F.lit(64)).alias("salt")).agg(F.min(order).alias("k"), F.count(F.lit(1)).alias("n"))
-    keys = salted.groupBy("host").agg(F.slice(F.array_sort(F.collect_list("k")), 1, references).alias("keys"), F.sum("n").alias("pages"))
-    keys = keys.where("pages > 1").select("host", F.explode("keys").alias("k")).select("host", "k.page_id", "k.url")
-    chosen = rows.join(F.broadcast(keys) if keys.count() <= 20_000 else keys, (rows["host"] == keys["host"]) & rows["page_id"].eqNullSafe(keys["page_id"]) & rows["url"].eqNullSafe(keys["url"]), "left_semi")
-
-    def learn(key, b: pd.DataFrame) -> pd.DataFrame:
-        trees = b.sort_values(["page_id", "html"])["html"].drop_duplicates().tolist()[:references]
-        return pd.DataFrame({"host": [key[0]], "template": [pickle.dumps(induce(trees), protocol=4)]})
-
-    templates = materialize(chosen.select("host", "page_id", "html").groupBy("host").applyInPandas(learn, "host string, template binary"), "templates")
+    def layouts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple[str, str]] = set()
+        for b in batches:
+            seen.update((h, layout(parse(html))) for h, html in zip(b["host"], b["html"]))
+            if len(seen) > 20_000:
+                yield pd.DataFrame(sorted(seen), columns=["host", "layout"])
+                seen.clear()
+        if seen:
+            yield pd.DataFrame(sorted(seen), columns=["host", "layout"])
 
-    def load(held: dict[str, Slot], host: str, data: bytes | None) -> Slot | None:
-        if data is None:
-            return None
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One template of each run of rows with equal host and salt."""
+        key, template = None, None
+        for b in batches:
+            for h, salt, text in zip(b["host"], b["salt"], b["layout"]):
+                if key == (h, salt):
+                    merge(template, from_layout(text))
+                    continue
+                if key is not None:
+                    yield pd.DataFrame({"host": [key[0]], "salt": [0], "layout": [layout(template)]})
+                key, template = (h, salt), from_layout(text)
+        if key is not None:
+            yield pd.DataFrame({"host": [key[0]], "salt": [0], "layout": [layout(template)]})
+
+    found = rows.select("host", "html").mapInPandas(layouts, "host string, layout string").distinct()
+    for n in (salts, 1):
+        dealt = found.select("host", F.pmod(F.xxhash64("layout"), F.lit(n)).cast("int").alias("salt"), "layout").repartition("host", "salt").sortWithinPartitions("host", "salt", "layout")
+        found = dealt.mapInPandas(merged, "host string, salt int, layout string")
+    templates = materialize(found.select("host", F.col("layout").alias("template")), "templates")
+    bytes_of = templates.agg(F.sum(F.octet_length("template"))).first()[0] or 0
+    near = F.broadcast if bytes_of <= broadcast_bytes else lambda df: df
+
+    def load(held: dict[str, Slot], host: str, data: str) -> Slot:
         if host not in held:
             if len(held) > 500:
                 held.clear()
-            held[host] = pickle.loads(data)
+            held[host] = numbered(from_layout(data))
         return held[host]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -360,8 +403,7 @@ def main_text(pages: DataFrame, references: int = 8, constant: float = 0.5, id_c
         if seen:
             yield rows_of()
 
-    with_template = rows.join(templates, "host", "left")
-    texts = with_template.where(F.col("template").isNotNull()).select("host", "html", "template").mapInPandas(count, "host string, slot int, digest long, n long").groupBy("host", "slot", "digest").agg(F.sum("n").alias("n"))
+    texts = rows.select("host", "html").join(near(templates), "host").mapInPandas(count, "host string, slot int, digest long, n long").groupBy("host", "slot", "digest").agg(F.sum("n").alias("n"))
     slots = texts.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "digest")).alias("top")).where((F.col("pages") > 1) & (F.col("top.n") >= constant * F.col("pages")))
     fixed = slots.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", F.col("top.digest").alias("digest")))).alias("fixed"))
     known = materialize(templates.join(fixed, "host", "left"), "wrappers")
@@ -380,4 +422,4 @@ def main_text(pages: DataFrame, references: int = 8, constant: float = 0.5, id_c
                 texts.append(extract(html, template, sets.get(h, frozenset()) if pairs is not None else frozenset()))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts})
 
-    return rows.join(known, "host", "left").mapInPandas(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("bigint"))
+    return rows.join(near(known), "host", "left").mapInPandas(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("bigint"))

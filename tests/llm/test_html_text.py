@@ -74,3 +74,10 @@ def test_repeated_article_stays(spark):
     rows = [(i, "http://c.example/x", "<body><nav>m</nav><article><h1>Same</h1><p>Same text</p></article></body>") for i in range(6)]
     got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.text for r in got} == {"Same\n\nSame text"} and len(got) == 6
+
+
+def test_rare_layout_is_in_the_template(spark):
+    rows = [(i, f"http://d.example/{i}", f"<body><div class='x'><p>Text {i}</p></div></body>") for i in range(300)]
+    rows += [(i, f"http://d.example/{i}", f"<body><div class='frame'>Printed for friends of d</div><div class='rare'><p>Rare {i}</p></div></body>") for i in range(300, 306)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Text {i}" if i < 300 else f"Rare {i}" for i in range(306)}
