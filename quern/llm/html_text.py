@@ -3,8 +3,9 @@
 The distinct layouts (trees without texts) of *all* pages of a host are merged, by simple tree matching, into
 partial templates, dealt by hash so that a hot host is spread over ``salts`` tasks, and those into the host's
 template tree: every layout has its nodes in it, whatever the partitioning. Then all pages of the host are
-aligned with that template and the texts found at its nodes are counted, pre-aggregated in each task. A node whose most frequent text is on at least ``constant`` of the pages
-that have the node is template; nodes that vary are slots, and slots hold content. Elements that
+aligned with that template and the texts found at its nodes are counted, once for each distinct html of the host,
+pre-aggregated in each task. A node whose most frequent text is on at least ``constant`` of the distinct pages
+that have the node, and on two at least, is template; nodes that vary are slots, and slots hold content. Elements that
 say what they are (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts)
 are left out on every page. Where a page marks its article (``article``, else ``main``), the article is
 the content and no part of it counts as template, however often it is repeated.
@@ -16,11 +17,11 @@ Pages with a null or odd url share one host. Rows that repeat a page_id are sepa
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -269,6 +270,10 @@ def _digest(text: str) -> int:
     return zlib.crc32(data) << 31 ^ zlib.adler32(data)
 
 
+def page_key(html: str) -> str:
+    return hashlib.blake2b(html.encode("utf-8", "replace"), digest_size=16).hexdigest()
+
+
 def _articles(root: Node) -> list[Node]:
     for tag in ("article", "main"):
         found, todo = [], [root]
@@ -388,23 +393,17 @@ def main_text(pages: DataFrame, salts: int = 64, constant: float = 0.5, broadcas
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, Slot] = {}
-        seen: Counter = Counter()
-
-        def rows_of() -> pd.DataFrame:
-            out = pd.DataFrame([(h, s, d, n) for (h, s, d), n in seen.items()], columns=["host", "slot", "digest", "n"])
-            seen.clear()
-            return out
-
         for b in batches:
+            pages, seen = [], []
             for h, html, data in zip(b["host"], b["html"], b["template"]):
-                seen.update((h, *x) for x in slots_seen(load(held, h, data), html))
-            if len(seen) > 200_000:
-                yield rows_of()
-        if seen:
-            yield rows_of()
-
-    texts = rows.select("host", "html").join(near(templates), "host").mapInPandas(count, "host string, slot int, digest long, n long").groupBy("host", "slot", "digest").agg(F.sum("n").alias("n"))
-    slots = texts.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "digest")).alias("top")).where((F.col("pages") > 1) & (F.col("top.n") >= constant * F.col("pages")))
+                pages.append(page_key(html))
+                seen.append([{"slot": n, "digest": d} for n, d in slots_seen(load(held, h, data), html)])
+            yield pd.DataFrame({"host": b["host"], "page": pages, "seen": seen})
+
+    pages = rows.select("host", "html").join(near(templates), "host").mapInPandas(count, "host string, page string, seen array<struct<slot int, digest long>>")
+    pages = pages.groupBy("host", "page").agg(F.min("seen").alias("seen"))  # copies count once
+    texts = pages.select("host", F.inline("seen")).groupBy("host", "slot", "digest").agg(F.count(F.lit(1)).alias("n"))
+    slots = texts.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "digest")).alias("top")).where((F.col("top.n") > 1) & (F.col("top.n") >= constant * F.col("pages")))
     fixed = slots.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", F.col("top.digest").alias("digest")))).alias("fixed"))
     known = materialize(templates.join(fixed, "host", "left"), "wrappers")
 

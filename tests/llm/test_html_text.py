@@ -81,3 +81,14 @@ def test_rare_layout_is_in_the_template(spark):
     rows += [(i, f"http://d.example/{i}", f"<body><div class='frame'>Printed for friends of d</div><div class='rare'><p>Rare {i}</p></div></body>") for i in range(300, 306)]
     got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Text {i}" if i < 300 else f"Rare {i}" for i in range(306)}
+
+
+def test_copies_are_no_template(spark):
+    def page(x):
+        return f"<body><div><h2>Head {x}</h2><p>Words {x}</p></div></body>"
+
+    rows = [(i, "http://e.example/x", page("same")) for i in range(9)] + [(10 + i, "http://e.example/y", page(i)) for i in range(3)]
+    rows += [(20 + i, "http://f.example/z", page("twice")) for i in range(2)] + [(30 + i, "http://g.example/z", page(i)) for i in range(2)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: "same" for i in range(9)} | {10 + i: i for i in range(3)} | {20: "twice", 21: "twice", 30: 0, 31: 1}
+    assert got == {i: f"Head {x}\n\nWords {x}" for i, x in want.items()}
