@@ -7,8 +7,13 @@ aligned with that template and the texts found at its nodes are counted, once fo
 pre-aggregated in each task. A node whose most frequent text is on at least ``constant`` of the distinct pages
 that have the node, and on two at least, is template; nodes that vary are slots, and slots hold content. Elements that
 say what they are (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts)
-are left out on every page. Where a page marks its article (``article``, else ``main``), the article is
-the content and no part of it counts as template, however often it is repeated.
+are left out on every page.
+
+Where a page marks its article (``article``, else ``main``), only the article is content. Its nodes are aligned and
+counted too, each distinct text of articles once, but the mark is a hint: a node in there is template only if its
+text is on ``constant`` of the distinct pages that have the *article*, since few pages have the last nodes of a long
+one. Where such nodes hold more than half of the characters of a host's distinct articles, the articles are near
+copies of each other, and nothing in them is template.
 
 Defined results: null or empty html gives an empty text. A page cut short gives what is there: an
 unfinished tag or comment is no text. Deeply nested elements are held at depth ``_DEPTH``; their text stays.
@@ -270,10 +275,6 @@ def _digest(text: str) -> int:
     return zlib.crc32(data) << 31 ^ zlib.adler32(data)
 
 
-def page_key(html: str) -> str:
-    return hashlib.blake2b(html.encode("utf-8", "replace"), digest_size=16).hexdigest()
-
-
 def _articles(root: Node) -> list[Node]:
     for tag in ("article", "main"):
         found, todo = [], [root]
@@ -290,28 +291,44 @@ def _articles(root: Node) -> list[Node]:
     return []
 
 
-def slots_seen(template: Slot, html: str) -> list[tuple[int, int]]:
-    """(slot, digest of its own text) for the page's nodes that align with the template; articles are no template."""
-    root = parse(html)
-    inside: set[int] = set()
-    for a in _articles(root):
-        todo = [a]
-        while todo:
-            x = todo.pop()
-            inside.add(id(x))
-            todo += x.children
-    return [(p.number, _digest(text)) for p, q in match(template, root)[1] if id(q) not in inside and (text := _own(q))]
+def _within(top: Node) -> list[Node]:
+    found, todo = [], [top]
+    while todo:
+        node = todo.pop()
+        found.append(node)
+        todo += [c for c in node.children if not c.boiler]
+    return found
 
 
-def extract(html: str | None, template: Slot | None = None, constant: frozenset[tuple[int, int]] = frozenset()) -> str:
-    """Blocks of the main text in page order, joined by an empty line."""
-    if not html:
-        return ""
+def _aligned(template: Slot, root: Node, articles: list[Node]) -> list[tuple[int, int, Node]]:
+    """(slot, slot of the article around it or -1, node) for the page's nodes that align with the template."""
+    pairs = match(template, root)[1]
+    numbers = {id(q): p.number for p, q in pairs}
+    around = {id(q): numbers[id(a)] for a in articles if id(a) in numbers for q in _within(a)}
+    outside = {id(q) for a in articles if id(a) not in numbers for q in _within(a)}
+    return [(p.number, around.get(id(q), -1), q) for p, q in pairs if id(q) not in outside]
+
+
+#: Digest of the row that says that a page has an article, and how long its text is.
+_HERE = -1
+
+
+def slots_seen(template: Slot, html: str) -> tuple[str, list[tuple[int, int, int, int]]]:
+    """A key of the page's content, and (slot, slot of the article around it, digest and length of its own text) for its nodes that align."""
     root = parse(html)
     articles = _articles(root)
-    fixed: set[int] = set()
-    if not articles and template is not None and constant:
-        fixed = {id(q) for p, q in match(template, root)[1] if (p.number, _digest(_own(q))) in constant}
+    content = "\n\n".join(_blocks(articles, True, frozenset())) if articles else html
+    out = [(n, a, _digest(text), len(text)) for n, a, q in _aligned(template, root, articles) if (text := _own(q))]
+    sizes: dict[int, int] = {}
+    for _, a, _, size in out:
+        if a >= 0:
+            sizes[a] = sizes.get(a, 0) + size
+    out += [(a, a, _HERE, size) for a, size in sorted(sizes.items())]
+    return hashlib.blake2b(content.encode("utf-8", "replace"), digest_size=16).hexdigest(), out
+
+
+def _blocks(tops: list[Node], articles: bool, fixed: frozenset[int] | set[int]) -> list[str]:
+    """Blocks of text below ``tops``, without the own text of the ``fixed`` nodes."""
     blocks: list[str] = []
     held: list[str] = []
 
@@ -337,10 +354,22 @@ def extract(html: str | None, template: Slot | None = None, constant: frozenset[
                 walk(c)
                 flush()
 
-    for top in articles or [root]:
+    for top in tops:
         walk(top)
         flush()
-    return "\n\n".join(blocks)
+    return blocks
+
+
+def extract(html: str | None, template: Slot | None = None, constant: frozenset[tuple[int, int, int]] = frozenset()) -> str:
+    """Blocks of the main text in page order, joined by an empty line."""
+    if not html:
+        return ""
+    root = parse(html)
+    articles = _articles(root)
+    fixed: set[int] = set()
+    if template is not None and constant:
+        fixed = {id(q) for n, a, q in _aligned(template, root, articles) if (n, a, _digest(_own(q))) in constant}
+    return "\n\n".join(_blocks(articles or [root], bool(articles), fixed))
 
 
 # --- DataFrame operator ---
@@ -396,15 +425,24 @@ def main_text(pages: DataFrame, salts: int = 64, constant: float = 0.5, broadcas
         for b in batches:
             pages, seen = [], []
             for h, html, data in zip(b["host"], b["html"], b["template"]):
-                pages.append(page_key(html))
-                seen.append([{"slot": n, "digest": d} for n, d in slots_seen(load(held, h, data), html)])
+                key, nodes = slots_seen(load(held, h, data), html)
+                pages.append(key)
+                seen.append([dict(zip(("slot", "article", "digest", "size"), x)) for x in nodes])
             yield pd.DataFrame({"host": b["host"], "page": pages, "seen": seen})
 
-    pages = rows.select("host", "html").join(near(templates), "host").mapInPandas(count, "host string, page string, seen array<struct<slot int, digest long>>")
+    pages = rows.select("host", "html").join(near(templates), "host").mapInPandas(count, "host string, page string, seen array<struct<slot int, article int, digest long, size int>>")
     pages = pages.groupBy("host", "page").agg(F.min("seen").alias("seen"))  # copies count once
-    texts = pages.select("host", F.inline("seen")).groupBy("host", "slot", "digest").agg(F.count(F.lit(1)).alias("n"))
-    slots = texts.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "digest")).alias("top")).where((F.col("top.n") > 1) & (F.col("top.n") >= constant * F.col("pages")))
-    fixed = slots.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", F.col("top.digest").alias("digest")))).alias("fixed"))
+    texts = pages.select("host", F.inline("seen")).groupBy("host", "slot", "article", "digest").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    here = F.col("digest") == _HERE
+    slots = texts.groupBy("host", "article", "slot").agg(
+        F.sum(F.when(~here, F.col("n"))).alias("pages"), F.max(F.when(~here, F.struct("n", "digest", "size"))).alias("top"), F.max(F.when(here, F.struct("n", "size"))).alias("articles")
+    )
+    slots = materialize(slots, "slots")
+    marked = slots.where("articles is not null").select("host", "article", F.col("articles.n").alias("of"), F.col("articles.size").alias("size"))
+    slots = slots.select("host", "article", "slot", "pages", "top").join(marked, ["host", "article"], "left").where((F.col("top.n") > 1) & (F.col("top.n") >= constant * F.coalesce("of", "pages")))
+    copied = slots.groupBy("host", "article").agg((2 * F.sum("top.size") > F.max("size")).alias("copied")).where("copied")
+    slots = slots.join(copied, ["host", "article"], "left_anti")
+    fixed = slots.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "article", F.col("top.digest").alias("digest")))).alias("fixed"))
     known = materialize(templates.join(fixed, "host", "left"), "wrappers")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -417,7 +455,7 @@ def main_text(pages: DataFrame, salts: int = 64, constant: float = 0.5, broadcas
                 if pairs is not None and h not in sets:
                     if len(sets) > 500:
                         sets.clear()
-                    sets[h] = frozenset((p["slot"], p["digest"]) for p in pairs)
+                    sets[h] = frozenset((p["slot"], p["article"], p["digest"]) for p in pairs)
                 texts.append(extract(html, template, sets.get(h, frozenset()) if pairs is not None else frozenset()))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts})
 

@@ -92,3 +92,21 @@ def test_copies_are_no_template(spark):
     got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     want = {i: "same" for i in range(9)} | {10 + i: i for i in range(3)} | {20: "twice", 21: "twice", 30: 0, 31: 1}
     assert got == {i: f"Head {x}\n\nWords {x}" for i, x in want.items()}
+
+
+def test_constant_blocks_in_articles(spark):
+    def page(i, body):
+        return (i, f"http://h.example/{i}", f"<body><nav>m</nav><article><h1>Title {i}</h1>{body}<div class='more'>Read more of h every week</div></article></body>")
+
+    rows = [page(i, "".join(f"<p>Text {i} {k}</p>" for k in range(i % 4 + 2))) for i in range(20)]
+    # Two long near copies have nodes that no other page has; those aren't template.
+    rows += [page(i, f"<p>Long {i}</p>" + "".join(f"<p>Shared text {k}</p>" for k in range(12))) for i in (20, 21)]
+    # A host of near copies keeps its articles.
+    rows += [(i, f"http://k.example/{i}", f"<body><article><h1>{i}</h1><p>A text that all of these pages share.</p></article></body>") for i in range(30, 34)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(20):
+        assert got[i] == "\n\n".join([f"Title {i}"] + [f"Text {i} {k}" for k in range(i % 4 + 2)])
+    for i in (20, 21):
+        assert got[i] == "\n\n".join([f"Title {i}", f"Long {i}"] + [f"Shared text {k}" for k in range(12)])
+    for i in range(30, 34):
+        assert got[i] == f"{i}\n\nA text that all of these pages share."
