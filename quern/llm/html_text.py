@@ -35,14 +35,16 @@ from pyspark.sql import functions as F
 
 from quern.session import materialize, ship
 
+# Tags as HTML's tokenizer takes them: a quote opens a value only after "=", and ">" outside of such a value ends the
+# tag. What is possessive isn't tried again, so that a tag without an end reaches the end of the page (no fourth group).
 _TOKEN = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
+    r"|<(/?)([a-zA-Z][^ \t\n\f\r/>]*+)"
+    r"((?:[ \t\n\f\r/]++|[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:\"[^\"]*+\"?+|'[^']*+'?+|[^ \t\n\f\r>\"'][^ \t\n\f\r>]*+)?+)?+)*+)(>?)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S,
 )
-_UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ATTRIBUTE = re.compile(r"([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:\"([^\"]*)\"|'([^']*)'|([^ \t\n\f\r>\"'][^ \t\n\f\r>]*))?)?+")
 _RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes template".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var".split())
@@ -98,12 +100,9 @@ def parse(html: str) -> Node:
     while at < n:
         m = find(html, at)
         text = html[at : m.start()] if m else html[at:]
-        if "<" in text and (cut := _UNFINISHED.search(text)):
-            stack[-1].content.append(text[: cut.start()])
-            break
         if text:
             stack[-1].content.append(text)
-        if not m:
+        if not m or m[2] and not m[4]:
             break
         at = m.end()
         tag = m[2]

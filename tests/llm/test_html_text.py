@@ -110,3 +110,12 @@ def test_constant_blocks_in_articles(spark):
         assert got[i] == "\n\n".join([f"Title {i}", f"Long {i}"] + [f"Shared text {k}" for k in range(12)])
     for i in range(30, 34):
         assert got[i] == f"{i}\n\nA text that all of these pages share."
+
+
+def test_stray_quotes_end_with_the_tag():
+    assert extract("<article><p title=it's>one</p><p>two</p></article>") == "one\n\ntwo"
+    assert extract('<article>a <img alt="5" tall">b<p>it\'s "c" > d</p></article>') == "a b\n\nit's \"c\" > d"
+    assert extract("<article><p title=it's>one</p><p>it's</p><p title='x>y' b=\">\" c = 1/2 d= >two</p></article>") == "one\n\nit's\n\ntwo"
+    assert extract('<article><p>one</p><p title="open>two</p>') == "one"
+    assert extract("<article><p>one</p></article>" + '<a b="' * 100_001) == "one"
+    assert extract("<div class = ad>x</div><div id='share'>y</div><div data-a='\"' class=\"menu\">z</div><p class=a/b>q</p>") == "q"
