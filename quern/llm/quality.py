@@ -11,14 +11,16 @@
    distinct n-grams, the sharded table answers by a join, and block and answers meet again: the
    rows that travel are distinct n-grams for each block, not occurrences, and nothing is broadcast.
 4. *Thresholds.* One fifth of the trusted documents is held out of training. For each language, the
-   threshold is ``slack`` above the ``quantile`` of their scores (mergeable sketches; languages with fewer than
-   ``least`` held-out documents use the quantile over all). A score is the mean negative log probability, drawn
+   threshold is ``slack`` above the mean of their scores and an excess over it: the ``quantile`` of the language's
+   own excesses, drawn towards that of all languages' as if ``least`` further documents had it (mergeable sketches).
+   So a language is measured by itself at every size. A score is the mean negative log probability, drawn
    towards the held-out mean as if ``prior`` further bytes had it, so that a short text isn't rejected for a few rare letters.
 
 Trusted ids are broadcast up to ``broadcast_ids`` (8 bytes each) and joined by shuffle beyond.
 
 Defined results: null or empty text has n_bytes 0, score and perplexity of the held-out mean, and is kept. A
-null language is a language of its own. Without trusted text every document is kept. Ids may be
+null language is a language of its own. A language without held-out text has no threshold: its documents are kept.
+Without trusted text every document is kept. Ids may be
 null or repeat: each row is scored by itself; a null id is never trusted.
 """
 
@@ -195,7 +197,7 @@ def scores(docs: DataFrame, table: DataFrame, order: int, block_mb: int) -> Data
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, "doc_id long, lang string, n_bytes long, nll double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float = 0.99, slack: float = 0.02, prior: float = 64.0, least: int = 50, block_mb: int = 48, broadcast_ids: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float = 0.99, slack: float = 0.02, prior: float = 64.0, least: int = 50, block_mb: int = 48, broadcast_ids: int = 4_000_000, broadcast_langs: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: doc_id, lang, n_bytes, score, perplexity (of a byte), threshold (of the score), kept."""
     ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -209,13 +211,16 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float
     whole = held.agg(F.sum("nll"), F.sum("n_bytes")).first()
     mean = whole[0] / whole[1] if whole[1] else 0.0
     score = (F.col("nll") + F.lit(prior * mean)) / (F.col("n_bytes") + F.lit(prior))
-    at = F.percentile_approx("score", quantile, 10_000)
-    held = held.withColumn("score", score)
-    top = held.agg(at).first()[0]
-    limits = held.groupBy("lang").agg(at.alias("limit"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("lang", "limit")
-    out = rated.withColumn("score", score).join(limits, "lang", "left")
-    threshold = F.coalesce(F.col("limit"), F.lit(float(top) if top is not None else math.inf)) * (1 + slack)
-    return out.select("doc_id", "lang", "n_bytes", "score", F.exp(F.when(F.col("n_bytes") > 0, F.col("nll") / F.col("n_bytes")).otherwise(mean)).alias("perplexity"), threshold.alias("threshold"), (F.col("score") <= threshold).alias("kept"))
+    at = F.percentile_approx("excess", quantile, 10_000)
+    means = held.withColumn("score", score).groupBy("lang").agg(F.avg("score").alias("mean"))
+    near = F.broadcast if means.count() <= broadcast_langs else lambda df: df  # a common language isn't dealt by its name
+    held = held.withColumn("score", score).join(near(means), "lang").withColumn("excess", F.col("score") - F.col("mean"))
+    top = held.agg(at).first()[0] or 0.0
+    limits = held.groupBy("lang").agg(at.alias("own"), F.first("mean").alias("mean"), F.count(F.lit(1)).alias("n"))
+    limits = limits.select("lang", (F.col("mean") + (F.col("n") * F.col("own") + least * top) / (F.col("n") + least)).alias("limit"))
+    out = rated.withColumn("score", score).join(near(limits), "lang", "left")
+    threshold = F.coalesce(F.col("limit"), F.lit(math.inf)) * (1 + slack)
+    return out.select("doc_id", "lang", "n_bytes", "score", F.exp(F.when(F.col("n_bytes") > 0, F.col("nll") / F.col("n_bytes")).otherwise(mean)).alias("perplexity"), threshold.alias("threshold"), ((F.col("n_bytes") == 0) | (F.col("score") <= threshold)).alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -110,3 +110,17 @@ def test_scores_are_sums_over_the_text(spark):
     for r in quality.scores(df, table, 3, 1).collect():
         want = -sum(math.log(p(g, 3)) for g in grams(docs[r.doc_id][1].encode(), 3))
         assert np.isclose(r.nll, want) and r.n_bytes == len(docs[r.doc_id][1].encode())
+
+
+def test_rare_language_has_its_own_threshold(spark):
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice(["the", "river", "of", "stone", "and"]) for _ in range(40)), "en") for i in range(600)]
+    docs += [(1000 + i, "".join(rng.choice("бвгджзклмнпрст") for _ in range(150)), "ru") for i in range(60)]
+    docs += [(2000 + i, "".join(rng.choice("#$%&*+=<>") for _ in range(150)), "en") for i in range(20)]
+    docs += [(3000, "".join(rng.choice("αβγδεζηθ") for _ in range(150)), "el")]
+    labels = [(i, 1, 0) for i in [*range(500), *range(1000, 1030)]]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in quality.classify(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert all(r.kept for i, r in out.items() if 1000 <= i < 1060 or i == 3000)
+    assert not any(out[i].kept for i in range(2000, 2020))
+    assert out[0].threshold < out[1000].threshold < out[3000].threshold == math.inf
