@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import stable_hash
+from quern.session import materialize
 
 
 def _cols(cols) -> list[Column]:
@@ -94,11 +95,11 @@ def round_robin(df: DataFrame, order: list[str], shards: int) -> DataFrame:
 
 
 def cyclic_neighbour(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
-    """Each row's next row by ``order``, the first for the last; no rows where there are fewer than two."""
-    w = Window.orderBy(*_cols(order))
-    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = df.withColumn(name, F.coalesce(F.lead(value).over(w), F.first(value).over(every))).withColumn("__n", F.count(F.lit(1)).over(every))
-    return out.where("__n > 1").drop("__n")
+    """Each row's next row by ``order``, the first for the last; no rows where there are fewer than two. No task sees all rows."""
+    placed = materialize(numbered(df, order, "__n"), "cycle")
+    n = placed.count()
+    following = placed.select(F.pmod(F.col("__n") - 1, F.lit(max(n, 1))).alias("__n"), F.col(value).alias(name))
+    return placed.join(following, "__n").where(F.lit(n > 1)).drop("__n")
 
 
 def rolling_mean(df: DataFrame, keys: list[str], order: list, value: str, window: int, name: str) -> DataFrame:

@@ -222,3 +222,11 @@ def test_streaming(spark, tmp_path):
     stream = spark.readStream.schema("qid string, sample_idx int, correct boolean, finish_reason string, ts timestamp").parquet(f"{tmp_path}/in")
     write_metrics(windowed_pass_rate(stream, "10 minutes", "1 hour"), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(120)
     assert sorted((r.n, r.c) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(10, 5), (10, 5)]
+
+
+def test_cyclic_neighbour_without_one_task(spark):
+    n = spark.createDataFrame([(i, i * 7 % 100, None if i == 50 else i) for i in range(100)], "id long, at long, value long")
+    out = K.cyclic_neighbour(n, ["at", "id"], "value", "nxt")
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    ids = [r.id for r in n.orderBy("at", "id").collect()]
+    assert {r.id: r.nxt for r in out.collect()} == {a: None if b == 50 else b for a, b in zip(ids, ids[1:] + ids[:1])}
