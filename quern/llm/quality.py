@@ -1,16 +1,18 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney model of byte n-grams, trained on trusted text.
 
-1. *Counts.* Each task counts the distinct n-grams of its texts, and how often they occur in trusted
-   training texts; the sums, sharded by n-gram, are the count table and the list of n-grams to be scored.
-   Everything trusted is counted: the table grows with the corpus.
-2. *Model.* Lower orders come from the table itself (continuation counts: distinct left extensions).
+1. *Blocks.* Each task packs its documents into blocks (``block_mb`` of text, compressed), one row each, with the
+   distinct n-grams of the block and how often they occur in its trusted training texts. A block is
+   all that is ever held in memory, and texts are written once and never dealt out uncompressed.
+2. *Counts.* The blocks' n-grams, summed and sharded by n-gram, are the count table. Everything
+   trusted is counted: the table grows with the corpus.
+3. *Model.* Lower orders come from the table itself (continuation counts: distinct left extensions).
    The three discounts of each order come from its counts of counts, four numbers an order.
-   Probabilities are interpolated from the lowest order up by joins on n-gram, context and suffix, all
+   Probabilities are interpolated from the lowest order up by joins on context and suffix, all
    sharded by the n-gram; a context that was never seen hands on the lower order.
-3. *Scores.* Documents are dealt into blocks by hash (``block_mb`` of text each). A block asks for its
-   distinct n-grams, the sharded table answers by a join, and block and answers meet again: the
-   rows that travel are distinct n-grams for each block, not occurrences, and nothing is broadcast.
-4. *Thresholds.* One fifth of the trusted documents is held out of training. For each language, the
+4. *Scores.* A block asks for its distinct n-grams, the sharded table answers by a join, and block and
+   answers meet again: the rows that travel are distinct n-grams for each block, not occurrences, and
+   nothing is broadcast.
+5. *Thresholds.* One fifth of the trusted documents is held out of training. For each language, the
    threshold is ``slack`` above the mean of their scores and an excess over it: the ``quantile`` of the language's
    own excesses, drawn towards that of all languages' as if ``least`` further documents had it (mergeable sketches).
    So a language is measured by itself at every size. A score is the mean negative log probability, drawn
@@ -20,8 +22,9 @@ Trusted ids are broadcast up to ``broadcast_ids`` (8 bytes each) and joined by s
 
 Defined results: null or empty text has n_bytes 0, score and perplexity of the held-out mean, and is kept. A
 null language is a language of its own. A language without held-out text has no threshold: its documents are kept.
-Without trusted text every document is kept. Ids may be
-null or repeat: each row is scored by itself; a null id is never trusted.
+Without trusted text every document is kept. A score that equals its threshold is kept. Ids may be null or
+repeat: each row is scored and decided by itself; a null id is never trusted. Other columns are
+ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,47 +33,53 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import materialize, ship
+from quern.session import discard, materialize, ship
 
 _CHUNK = 1 << 20  # bytes of text that are turned into n-grams at once
 
 
+def _windows(data: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
+    """The n-gram ending at each byte of ``data``, where texts begin at ``starts``; zeros stand before a text."""
+    out = data.astype(np.int64)
+    for j in range(1, order):
+        before = np.zeros(len(data), np.int64)
+        before[j:] = data[:-j]
+        for k in range(j):
+            at = starts + k
+            before[at[at < len(data)]] = 0
+        out |= before << 8 * j
+    return out
+
+
 def ngrams(texts: list[bytes], order: int) -> np.ndarray:
     """The n-grams ending at each byte of each text, as integers; zero bytes stand before a text."""
-    pad = b"\0" * (order - 1)
-    data = np.frombuffer(pad + pad.join(texts), np.uint8)
-    n = len(data) - order + 1
-    out = np.zeros(max(n, 0), np.int64)
-    for j in range(order):
-        out = out << 8 | data[j : j + n]
-    if len(texts) > 1:  # windows that end on padding
-        ends = np.zeros(n, bool)
-        at = np.cumsum([len(t) + order - 1 for t in texts[:-1]]) - (order - 1)
-        for j in range(order - 1):
-            ends[at + j] = True
-        out = out[~ends]
-    return out
+    sizes = np.array([len(t) for t in texts], np.int64)
+    return _windows(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, order)
 
 
-def _bytes(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
+def _spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts (no nulls among them), and the place of each text's start and of the end."""
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, offsets, data = texts.buffers()
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    places = np.frombuffer(offsets, kind, len(texts) + 1, texts.offset * np.dtype(kind).itemsize).astype(np.int64)
+    if data is None or places[-1] == places[0]:
+        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
+    return np.frombuffer(data, np.uint8, int(places[-1] - places[0]), int(places[0])), places - places[0]
 
 
-def _chunks(texts: pd.Series) -> Iterator[tuple[int, list[bytes]]]:
-    """(place of the first, texts as bytes) for runs of texts of about ``_CHUNK`` bytes: only one run is held as bytes."""
-    first, held, size = 0, [], 0
-    for k, t in enumerate(texts):
-        held.append(_bytes(t))
-        size += len(held[-1])
-        if size >= _CHUNK:
-            yield first, held
-            first, held, size = k + 1, [], 0
-    if held:
-        yield first, held
+def _runs(places: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``_CHUNK`` bytes."""
+    a, n = 0, len(places) - 1
+    while a < n:
+        z = max(a + 1, int(np.searchsorted(places, places[a] + _CHUNK)))
+        yield a, min(z, n)
+        a = min(z, n)
 
 
 class _Counter:
@@ -78,7 +87,6 @@ class _Counter:
 
     def __init__(self) -> None:
         self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
         self._new: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
@@ -89,38 +97,84 @@ class _Counter:
     def settle(self) -> _Counter:
         if self._new:
             counts = np.concatenate([self.counts, *(c for _, c in self._new)])
-            self.keys, at = np.unique(np.concatenate([self.keys, *(k for k, _ in self._new)]), return_inverse=True)
-            self.counts = np.zeros(len(self.keys), np.int64)
-            np.add.at(self.counts, at, counts)
+            keys = np.concatenate([self.keys, *(k for k, _ in self._new)])
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.intp)
+            self.keys, self.counts = keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
             self._new.clear()
         return self
 
 
-def count_table(docs: DataFrame, trusted: DataFrame, order: int, broadcast_ids: int) -> DataFrame:
-    """(g, c): every n-gram of the corpus and its count in trusted training texts (0 where it is only elsewhere)."""
+_DOC = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text_hash", pa.int64()), ("text", pa.string())])
+
+
+def _packed(rows: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _DOC, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for r in rows:
+            out.write_batch(r)
+    return sink.getvalue().to_pybytes()
+
+
+def blocks(docs: DataFrame, order: int, block_mb: int) -> DataFrame:
+    """A row a block: block, docs (the packed rows), grams (distinct, ascending), counts (in texts with ``train`` set).
+
+    ``docs`` has doc_id, lang, text_hash, text (not null) and train. A block ends with the text that fills it.
+    """
+    limit = block_mb << 20
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(rows: list[pa.RecordBatch], flags: list[np.ndarray]) -> _Counter:
         seen = _Counter()
-        for b in batches:
-            learn = b["train"].to_numpy()
-            for first, texts in _chunks(b["text"]):
+        for r, train in zip(rows, flags):
+            data, places = _spans(r.column("text"))
+            for a, z in _runs(places):
+                grams = _windows(data[places[a] : places[z]], places[a:z] - places[a], order)
+                learn = np.repeat(train[a:z], np.diff(places[a : z + 1]))
                 for flag in (True, False):
-                    mine = [t for t, f in zip(texts, learn[first:]) if f == flag and t]
-                    if mine:
-                        keys, counts = np.unique(ngrams(mine, order), return_counts=True)
+                    mine = grams[learn == flag]
+                    if len(mine):
+                        keys, counts = np.unique(mine, return_counts=True)
                         seen.add(keys, counts if flag else np.zeros(len(keys), np.int64))
-            if len(seen.keys) > 2_000_000:
-                seen.settle()
-                yield pd.DataFrame({"g": seen.keys, "c": seen.counts})
-                seen = _Counter()
-        if len(seen.settle().keys):
-            yield pd.DataFrame({"g": seen.keys, "c": seen.counts})
+        return seen.settle()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at, held, flags, size = TaskContext.get().partitionId() << 32, [], [], 0
 
-    ids = trusted.select(F.col("doc_id").alias("__id"), F.lit(True).alias("__train"))
-    if trusted.count() <= broadcast_ids:
-        ids = F.broadcast(ids)
-    rows = docs.join(ids, docs["doc_id"] == ids["__id"], "left").select("text", F.coalesce("__train", F.lit(False)).alias("train"))
-    return rows.mapInPandas(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+        def out() -> pa.RecordBatch:
+            seen = counted(held, flags)
+            one = np.array([0, len(seen.keys)], np.int32)
+            grams, counts = pa.ListArray.from_arrays(one, pa.array(seen.keys)), pa.ListArray.from_arrays(one, pa.array(seen.counts))
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([_packed(held)], pa.binary()), grams, counts], names=["block", "docs", "grams", "counts"])
+
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            rows = table.select(_DOC.names).cast(_DOC).combine_chunks().to_batches()
+            train = b.column(b.schema.get_field_index("train")).to_numpy(zero_copy_only=False)
+            for r in rows:
+                _, places = _spans(r.column("text"))
+                a, n = 0, len(r)
+                while a < n:
+                    z = min(n, int(np.searchsorted(places, places[a] + limit - size)))
+                    z = max(z, a + 1)
+                    held.append(r.slice(a, z - a))
+                    flags.append(train[a:z].astype(bool))
+                    size += int(places[z] - places[a])
+                    if size >= limit:
+                        yield out()
+                        at, held, flags, size = at + 1, [], [], 0
+                    a = z
+        if held:
+            yield out()
+
+    return materialize(docs.select("doc_id", "lang", "text_hash", "text", "train").mapInArrow(run, "block long, docs binary, grams array<long>, counts array<long>"), "blocks")
+
+
+def count_table(packed: DataFrame) -> DataFrame:
+    """(g, c): every n-gram of the corpus and its count in trusted training texts (0 where it is only elsewhere)."""
+    return packed.select(F.explode(F.arrays_zip("grams", "counts")).alias("x")).groupBy(F.col("x.grams").alias("g")).agg(F.sum("x.counts").alias("c"))
 
 
 def _low(g: Column | str, n: int) -> Column:
@@ -140,91 +194,99 @@ def discounts(n: list[int]) -> list[float]:
 
 
 def probabilities(table: DataFrame, order: int) -> DataFrame:
-    """(g, nll): negative log probability of the last byte of each n-gram in ``table`` (a written table) after the others."""
-    counts = {order: table.where("c > 0")}
-    asked = {order: table.select("g")}
+    """(g, nll), written: negative log probability of the last byte of each n-gram in ``table`` (a written table) after the others."""
+    levels = {order: table}
     for n in range(order - 1, 0, -1):
-        counts[n] = counts[n + 1].groupBy(_low("g", n).alias("g")).agg(F.count(F.lit(1)).alias("c"))
-        asked[n] = asked[n + 1].select(_low("g", n).alias("g")).distinct()
+        known = levels[n + 1].groupBy(_low("g", n).alias("g")).agg(F.count(F.when(F.col("c") > 0, 1)).alias("c"))
+        levels[n] = materialize(known, f"counts{n}")
     p: DataFrame | None = None
     for n in range(1, order + 1):
-        t = counts[n] if n == order else materialize(counts[n], f"counts{n}")
-        r = t.agg(*[F.count(F.when(F.col("c") == k, 1)) for k in (1, 2, 3, 4)]).first()
-        d1, d2, d3 = discounts(list(r))
+        t = levels[n]
+        d1, d2, d3 = discounts(list(t.agg(*[F.count(F.when(F.col("c") == k, 1)) for k in (1, 2, 3, 4)]).first()))
         d = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        contexts = t.groupBy(F.shiftright("g", 8).alias("context")).agg(F.sum("c").alias("total"), F.sum(d).alias("held"))
-        rows = asked[n].select("g", F.shiftright("g", 8).alias("context"), _low("g", n - 1).alias("suffix"))
-        rows = rows.join(t.select("g", F.greatest(F.col("c") - d, F.lit(0.0)).alias("own")), "g", "left").join(contexts, "context", "left")
+        contexts = t.where("c > 0").groupBy(F.shiftright("g", 8).alias("context")).agg(F.sum("c").alias("total"), F.sum(d).alias("held"))
+        own = F.when(F.col("c") > 0, F.greatest(F.col("c") - d, F.lit(0.0))).otherwise(0.0).alias("own")
+        rows = t.select("g", F.shiftright("g", 8).alias("context"), _low("g", n - 1).alias("suffix"), own).join(contexts, "context", "left")
         rows = rows.withColumn("lower", F.lit(1.0 / 256)) if p is None else rows.join(p.select(F.col("g").alias("suffix"), F.col("p").alias("lower")), "suffix")
-        mine = (F.coalesce("own", F.lit(0.0)) + F.col("held") * F.col("lower")) / F.col("total")
-        p = materialize(rows.select("g", F.coalesce(mine, "lower").alias("p")), f"p{n}")
-    return p.select("g", (-F.log("p")).alias("nll"))
+        mine = F.coalesce((F.col("own") + F.col("held") * F.col("lower")) / F.col("total"), "lower")
+        now = materialize(rows.select("g", mine.alias("p")) if n < order else rows.select("g", (-F.log(mine)).alias("nll")), f"p{n}")
+        discard(*([p] if p is not None else []), *([t] if n < order else []))
+        p = now
+    return p
+
+
+def score_blocks(packed: DataFrame, known: DataFrame, order: int) -> DataFrame:
+    """doc_id, lang, text_hash, n_bytes, nll (sum) of every row in the written blocks; ``known`` has (g, nll) of all their n-grams."""
+    answers = packed.select(F.col("block").alias("asking"), F.explode("grams").alias("g")).join(known, "g").select("asking", "g", "nll")
+
+    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, values = answers.column("g").to_numpy(), answers.column("nll").to_numpy()
+        order_of = np.argsort(keys)
+        keys, values = keys[order_of], values[order_of]
+        out = []
+        for stored in rows.column("docs"):
+            for r in pa.ipc.open_stream(stored.as_buffer()):
+                data, places = _spans(r.column("text"))
+                sizes = np.diff(places)
+                sums = np.zeros(len(sizes))
+                for a, z in _runs(places):
+                    grams = _windows(data[places[a] : places[z]], places[a:z] - places[a], order)
+                    if not len(grams):
+                        continue
+                    at = np.searchsorted(keys, grams)
+                    if len(keys) == 0 or not np.array_equal(keys[np.minimum(at, len(keys) - 1)], grams):
+                        raise RuntimeError("an n-gram of the block has no answer")
+                    some = np.flatnonzero(sizes[a:z])
+                    sums[a + some] = np.add.reduceat(values[at], places[a + some] - places[a])
+                out.append(pa.RecordBatch.from_arrays([r.column("doc_id"), r.column("lang"), r.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(sums)], names=["doc_id", "lang", "text_hash", "n_bytes", "nll"]))
+        return pa.Table.from_batches(out).combine_chunks()
+
+    return packed.select("block", "docs").groupBy("block").cogroup(answers.groupBy("asking")).applyInArrow(score, "doc_id long, lang string, text_hash long, n_bytes long, nll double")
 
 
 def scores(docs: DataFrame, table: DataFrame, order: int, block_mb: int) -> DataFrame:
-    """doc_id, lang, n_bytes, nll (sum) of every row."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(8, -(-size // (block_mb << 20)))
-    dealt = docs.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")).repartition(blocks, "block")
-
-    def ask(key, rows: pd.DataFrame) -> pd.DataFrame:
-        found = _Counter()
-        for _, texts in _chunks(rows["text"]):
-            keys = np.unique(ngrams([t for t in texts if t] or [b""], order))
-            found.add(keys, np.zeros(len(keys), np.int64))
-        keys = found.settle().keys
-        return pd.DataFrame({"block": np.full(len(keys), key[0], np.int64), "g": keys})
-
-    answers = dealt.groupBy("block").applyInPandas(ask, "block long, g long").join(table, "g").select("block", "g", "nll")
-
-    def score(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"doc_id": rows["doc_id"], "lang": rows["lang"]})
-        sizes, sums = np.zeros(len(rows), np.int64), np.zeros(len(rows))
-        known = known.sort_values("g")
-        keys, values = known["g"].to_numpy(), known["nll"].to_numpy()
-        for first, texts in _chunks(rows["text"]):
-            sizes[first : first + len(texts)] = [len(t) for t in texts]
-            mine = [k for k, t in enumerate(texts) if t]
-            if mine:
-                g = ngrams([texts[k] for k in mine], order)
-                at = np.searchsorted(keys, g)
-                if len(keys) == 0 or not np.array_equal(keys[np.minimum(at, len(keys) - 1)], g):
-                    raise RuntimeError("an n-gram of the block has no answer")
-                own = sizes[first:][mine]
-                sums[first + np.array(mine)] = np.add.reduceat(values[at], np.cumsum(own) - own)
-        return out.assign(n_bytes=sizes, nll=sums)
-
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, "doc_id long, lang string, n_bytes long, nll double")
-
-
-def classify(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float = 0.99, slack: float = 0.02, prior: float = 64.0, least: int = 50, block_mb: int = 48, broadcast_ids: int = 4_000_000, broadcast_langs: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Per row: doc_id, lang, n_bytes, score, perplexity (of a byte), threshold (of the score), kept."""
+    """The same from doc_id, lang and text, with blocks of its own."""
     ship(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return score_blocks(blocks(docs.withColumns({"text_hash": F.xxhash64("text"), "train": F.lit(False)}), order, block_mb), table, order)
+
+
+def classify(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float = 0.99, slack: float = 0.02, prior: float = 64.0, least: int = 50, block_mb: int = 12, broadcast_ids: int = 4_000_000, broadcast_langs: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Per row: doc_id, lang, text_hash, n_bytes, score, perplexity (of a byte), threshold (of the score), kept."""
+    ship(docs.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     trusted = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and coalesce(t, 0) = 0").select("doc_id")
     fold = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(5))
-    table = materialize(count_table(docs, trusted.where(fold > 0), order, broadcast_ids), "counts")
-    rated = materialize(scores(docs, probabilities(table, order), order, block_mb), "scores")
-
-    held = trusted.where(fold == 0)
-    held = rated.where("n_bytes > 0").join(F.broadcast(held) if held.count() <= broadcast_ids else held, "doc_id", "left_semi")
+    learn = trusted.where(fold > 0).select(F.col("doc_id").alias("__id"), F.lit(True).alias("__train"))
+    near = F.broadcast if trusted.count() <= broadcast_ids else lambda df: df
+    packed = blocks(docs.join(near(learn), F.col("doc_id") == F.col("__id"), "left").withColumn("train", F.coalesce("__train", F.lit(False))), order, block_mb)
+    table = materialize(count_table(packed), "counts")
+    known = probabilities(table, order)
+    discard(table)
+    rated = materialize(score_blocks(packed, known, order), "scores")
+    discard(packed, known)
+
+    held = rated.where("n_bytes > 0").join(near(trusted.where(fold == 0)), "doc_id", "left_semi")
     whole = held.agg(F.sum("nll"), F.sum("n_bytes")).first()
     mean = whole[0] / whole[1] if whole[1] else 0.0
     score = (F.col("nll") + F.lit(prior * mean)) / (F.col("n_bytes") + F.lit(prior))
     at = F.percentile_approx("excess", quantile, 10_000)
     means = held.withColumn("score", score).groupBy("lang").agg(F.avg("score").alias("mean"))
-    near = F.broadcast if means.count() <= broadcast_langs else lambda df: df  # a common language isn't dealt by its name
-    held = held.withColumn("score", score).join(near(means), "lang").withColumn("excess", F.col("score") - F.col("mean"))
+    few = F.broadcast if means.count() <= broadcast_langs else lambda df: df  # a common language isn't dealt by its name
+    held = held.withColumn("score", score).join(few(means), "lang").withColumn("excess", F.col("score") - F.col("mean"))
     top = held.agg(at).first()[0] or 0.0
     limits = held.groupBy("lang").agg(at.alias("own"), F.first("mean").alias("mean"), F.count(F.lit(1)).alias("n"))
     limits = limits.select("lang", (F.col("mean") + (F.col("n") * F.col("own") + least * top) / (F.col("n") + least)).alias("limit"))
-    out = rated.withColumn("score", score).join(near(limits), "lang", "left")
+    out = rated.withColumn("score", score).join(few(limits), "lang", "left")
     threshold = F.coalesce(F.col("limit"), F.lit(math.inf)) * (1 + slack)
-    return out.select("doc_id", "lang", "n_bytes", "score", F.exp(F.when(F.col("n_bytes") > 0, F.col("nll") / F.col("n_bytes")).otherwise(mean)).alias("perplexity"), threshold.alias("threshold"), ((F.col("n_bytes") == 0) | (F.col("score") <= threshold)).alias("kept"))
+    perplexity = F.exp(F.when(F.col("n_bytes") > 0, F.col("nll") / F.col("n_bytes")).otherwise(mean))
+    return out.select("doc_id", "lang", "text_hash", "n_bytes", "score", perplexity.alias("perplexity"), threshold.alias("threshold"), ((F.col("n_bytes") == 0) | (F.col("score") <= threshold)).alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps. Rows that repeat an id go only together."""
-    id_col = options.get("id_col", "doc_id")
-    gone = classify(docs, labels, **options).groupBy("doc_id").agg(F.max("kept").alias("k")).where("not k and doc_id is not null").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col].cast("bigint") == gone["__gone"], "left_anti")
+    """The rows of ``docs`` that the classifier keeps, each by its own language and text, whatever its id."""
+    id_col, text_col, lang_col = (options.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("lang_col", "lang")))
+    gone = classify(docs, labels, **options).where("not kept").select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"), F.col("text_hash").alias("__hash")).distinct()
+    mine = [docs[id_col].cast("bigint"), F.coalesce(docs[lang_col], F.lit("")), F.xxhash64(F.coalesce(docs[text_col], F.lit("")))]
+    same = [a.eqNullSafe(gone[b]) for a, b in zip(mine, ("__id", "__lang", "__hash"))]
+    return docs.join(gone, same[0] & same[1] & same[2], "left_anti")
