@@ -1,18 +1,17 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney model of byte n-grams, trained on trusted text.
 
-1. *Blocks.* Each task packs its documents into blocks (``block_mb`` of text, compressed), one row each, with the
-   distinct n-grams of the block and how often they occur in its trusted training texts. A block is
-   all that is ever held in memory, and texts are written once and never dealt out uncompressed.
-2. *Counts.* The blocks' n-grams, summed and sharded by n-gram, are the count table. Everything
-   trusted is counted: the table grows with the corpus.
-3. *Model.* Lower orders come from the table itself (continuation counts: distinct left extensions).
+1. *Counts.* Each task counts the distinct n-grams of its texts, and how often they occur in trusted
+   training texts; the sums, sharded by n-gram, are the count table and the list of n-grams to be scored.
+   Everything trusted is counted: the table grows with the corpus.
+2. *Model.* Lower orders come from the table itself (continuation counts: distinct left extensions).
    The three discounts of each order come from its counts of counts, four numbers an order.
    Probabilities are interpolated from the lowest order up by joins on context and suffix, all
    sharded by the n-gram; a context that was never seen hands on the lower order.
-4. *Scores.* A block asks for its distinct n-grams, the sharded table answers by a join, and block and
-   answers meet again: the rows that travel are distinct n-grams for each block, not occurrences, and
-   nothing is broadcast.
-5. *Thresholds.* One fifth of the trusted documents is held out of training. For each language, the
+3. *Scores.* Each task packs its documents into blocks (``block_mb`` of text, compressed), one row each. A
+   block asks for its distinct n-grams, the sharded table answers by a join, and block and answers meet
+   again: the rows that travel are distinct n-grams for each block, not occurrences, nothing is broadcast,
+   and a task holds a compressed block, its answers and 1 MB of its texts.
+4. *Thresholds.* One fifth of the trusted documents is held out of training. For each language, the
    threshold is ``slack`` above the mean of their scores and an excess over it: the ``quantile`` of the language's
    own excesses, drawn towards that of all languages' as if ``least`` further documents had it (mergeable sketches).
    So a language is measured by itself at every size. A score is the mean negative log probability, drawn
@@ -109,72 +108,71 @@ class _Counter:
 _DOC = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text_hash", pa.int64()), ("text", pa.string())])
 
 
-def _packed(rows: list[pa.RecordBatch]) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, _DOC, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        for r in rows:
-            out.write_batch(r)
-    return sink.getvalue().to_pybytes()
+def _rows(b: pa.RecordBatch, schema: pa.Schema) -> list[pa.RecordBatch]:
+    """The columns of ``schema``, with 32-bit offsets."""
+    return pa.Table.from_batches([b]).select(schema.names).cast(schema).combine_chunks().to_batches()
 
 
-def blocks(docs: DataFrame, order: int, block_mb: int) -> DataFrame:
-    """A row a block: block, docs (the packed rows), grams (distinct, ascending), counts (in texts with ``train`` set).
+def count_table(docs: DataFrame, order: int) -> DataFrame:
+    """(g, c): every n-gram of ``docs`` (text, train) and its count in texts with ``train`` set (0 where it is only elsewhere)."""
+    schema = pa.schema([("text", pa.string()), ("train", pa.bool_())])
 
-    ``docs`` has doc_id, lang, text_hash, text (not null) and train. A block ends with the text that fills it.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Counter()
+        for b in batches:
+            for r in _rows(b, schema):
+                data, places = _spans(r.column("text"))
+                learn = r.column("train").to_numpy(zero_copy_only=False)
+                for a, z in _runs(places):
+                    grams = _windows(data[places[a] : places[z]], places[a:z] - places[a], order)
+                    flags = np.repeat(learn[a:z], np.diff(places[a : z + 1]))
+                    for flag in (True, False):
+                        mine = grams[flags == flag]
+                        if len(mine):
+                            keys, counts = np.unique(mine, return_counts=True)
+                            seen.add(keys, counts if flag else np.zeros(len(keys), np.int64))
+            if len(seen.keys) > 2_000_000:
+                seen.settle()
+                yield pa.RecordBatch.from_arrays([pa.array(seen.keys), pa.array(seen.counts)], names=["g", "c"])
+                seen = _Counter()
+        if len(seen.settle().keys):
+            yield pa.RecordBatch.from_arrays([pa.array(seen.keys), pa.array(seen.counts)], names=["g", "c"])
+
+    return docs.select("text", "train").mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+
+
+def blocks(docs: DataFrame, block_mb: int) -> DataFrame:
+    """A row a block: block, docs (rows packed as a compressed Arrow stream in runs of about 1 MB).
+
+    ``docs`` has doc_id, lang, text_hash and text (not null). A block ends with the run that fills it.
     """
     limit = block_mb << 20
 
-    def counted(rows: list[pa.RecordBatch], flags: list[np.ndarray]) -> _Counter:
-        seen = _Counter()
-        for r, train in zip(rows, flags):
-            data, places = _spans(r.column("text"))
-            for a, z in _runs(places):
-                grams = _windows(data[places[a] : places[z]], places[a:z] - places[a], order)
-                learn = np.repeat(train[a:z], np.diff(places[a : z + 1]))
-                for flag in (True, False):
-                    mine = grams[learn == flag]
-                    if len(mine):
-                        keys, counts = np.unique(mine, return_counts=True)
-                        seen.add(keys, counts if flag else np.zeros(len(keys), np.int64))
-        return seen.settle()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        at, held, flags, size = TaskContext.get().partitionId() << 32, [], [], 0
+        at, size, sink, out = TaskContext.get().partitionId() << 32, 0, None, None
 
-        def out() -> pa.RecordBatch:
-            seen = counted(held, flags)
-            one = np.array([0, len(seen.keys)], np.int32)
-            grams, counts = pa.ListArray.from_arrays(one, pa.array(seen.keys)), pa.ListArray.from_arrays(one, pa.array(seen.counts))
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([_packed(held)], pa.binary()), grams, counts], names=["block", "docs", "grams", "counts"])
+        def closed() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "docs"])
 
         for b in batches:
-            table = pa.Table.from_batches([b])
-            rows = table.select(_DOC.names).cast(_DOC).combine_chunks().to_batches()
-            train = b.column(b.schema.get_field_index("train")).to_numpy(zero_copy_only=False)
-            for r in rows:
+            for r in _rows(b, _DOC):
                 _, places = _spans(r.column("text"))
-                a, n = 0, len(r)
-                while a < n:
-                    z = min(n, int(np.searchsorted(places, places[a] + limit - size)))
-                    z = max(z, a + 1)
-                    held.append(r.slice(a, z - a))
-                    flags.append(train[a:z].astype(bool))
+                for a, z in _runs(places):
+                    if out is None:
+                        sink = pa.BufferOutputStream()
+                        out = pa.ipc.new_stream(sink, _DOC, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5)))
+                    out.write_batch(r.slice(a, z - a))
                     size += int(places[z] - places[a])
                     if size >= limit:
-                        yield out()
-                        at, held, flags, size = at + 1, [], [], 0
-                    a = z
-        if held:
-            yield out()
-
-    return materialize(docs.select("doc_id", "lang", "text_hash", "text", "train").mapInArrow(run, "block long, docs binary, grams array<long>, counts array<long>"), "blocks")
+                        yield closed()
+                        at, size, out = at + 1, 0, None
+        if out is not None:
+            yield closed()
 
-
-def count_table(packed: DataFrame) -> DataFrame:
-    """(g, c): every n-gram of the corpus and its count in trusted training texts (0 where it is only elsewhere)."""
-    return packed.select(F.explode(F.arrays_zip("grams", "counts")).alias("x")).groupBy(F.col("x.grams").alias("g")).agg(F.sum("x.counts").alias("c"))
+    return docs.select(*_DOC.names).mapInArrow(run, "block long, docs binary")
 
 
 def _low(g: Column | str, n: int) -> Column:
@@ -215,14 +213,36 @@ def probabilities(table: DataFrame, order: int) -> DataFrame:
     return p
 
 
-def score_blocks(packed: DataFrame, known: DataFrame, order: int) -> DataFrame:
-    """doc_id, lang, text_hash, n_bytes, nll (sum) of every row in the written blocks; ``known`` has (g, nll) of all their n-grams."""
-    answers = packed.select(F.col("block").alias("asking"), F.explode("grams").alias("g")).join(known, "g").select("asking", "g", "nll")
+def scores(docs: DataFrame, known: DataFrame, order: int, block_mb: int) -> DataFrame:
+    """doc_id, lang, text_hash, n_bytes, nll (sum) of every row; ``known`` has (g, nll) of all their n-grams.
+
+    The blocks are dealt out once; asking and scoring read that one exchange. A block that was packed
+    anew and otherwise (rows of ``docs`` in another order after a loss) would meet answers that don't fit: that raises.
+    """
+    ship(docs.sparkSession)
+    if "text_hash" not in docs.columns:
+        docs = docs.withColumn("text_hash", F.xxhash64("text"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks(docs, block_mb).repartition(parts, "block")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, stored in zip(b.column(0).to_pylist(), b.column(1)):
+                found = _Counter()
+                for r in pa.ipc.open_stream(stored.as_buffer()):
+                    data, places = _spans(r.column("text"))
+                    for a, z in _runs(places):
+                        keys = np.unique(_windows(data[places[a] : places[z]], places[a:z] - places[a], order))
+                        found.add(keys, np.zeros(len(keys), np.int64))
+                keys = found.settle().keys
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block, np.int64)), pa.array(keys)], names=["asking", "g"])
+
+    answers = dealt.mapInArrow(ask, "asking long, g long").join(known, "g").select("asking", "g", "nll")
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
         keys, values = answers.column("g").to_numpy(), answers.column("nll").to_numpy()
-        order_of = np.argsort(keys)
-        keys, values = keys[order_of], values[order_of]
+        by_key = np.argsort(keys)
+        keys, values = keys[by_key], values[by_key]
         out = []
         for stored in rows.column("docs"):
             for r in pa.ipc.open_stream(stored.as_buffer()):
@@ -241,16 +261,10 @@ def score_blocks(packed: DataFrame, known: DataFrame, order: int) -> DataFrame:
                 out.append(pa.RecordBatch.from_arrays([r.column("doc_id"), r.column("lang"), r.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(sums)], names=["doc_id", "lang", "text_hash", "n_bytes", "nll"]))
         return pa.Table.from_batches(out).combine_chunks()
 
-    return packed.select("block", "docs").groupBy("block").cogroup(answers.groupBy("asking")).applyInArrow(score, "doc_id long, lang string, text_hash long, n_bytes long, nll double")
-
-
-def scores(docs: DataFrame, table: DataFrame, order: int, block_mb: int) -> DataFrame:
-    """The same from doc_id, lang and text, with blocks of its own."""
-    ship(docs.sparkSession)
-    return score_blocks(blocks(docs.withColumns({"text_hash": F.xxhash64("text"), "train": F.lit(False)}), order, block_mb), table, order)
+    return dealt.groupBy("block").cogroup(answers.groupBy("asking")).applyInArrow(score, "doc_id long, lang string, text_hash long, n_bytes long, nll double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float = 0.99, slack: float = 0.02, prior: float = 64.0, least: int = 50, block_mb: int = 12, broadcast_ids: int = 4_000_000, broadcast_langs: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float = 0.99, slack: float = 0.02, prior: float = 64.0, least: int = 50, block_mb: int = 24, broadcast_ids: int = 4_000_000, broadcast_langs: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: doc_id, lang, text_hash, n_bytes, score, perplexity (of a byte), threshold (of the score), kept."""
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -259,12 +273,12 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float
     fold = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(5))
     learn = trusted.where(fold > 0).select(F.col("doc_id").alias("__id"), F.lit(True).alias("__train"))
     near = F.broadcast if trusted.count() <= broadcast_ids else lambda df: df
-    packed = blocks(docs.join(near(learn), F.col("doc_id") == F.col("__id"), "left").withColumn("train", F.coalesce("__train", F.lit(False))), order, block_mb)
-    table = materialize(count_table(packed), "counts")
+    flagged = docs.join(near(learn), F.col("doc_id") == F.col("__id"), "left").select("text", F.coalesce("__train", F.lit(False)).alias("train"))
+    table = materialize(count_table(flagged, order), "counts")
     known = probabilities(table, order)
     discard(table)
-    rated = materialize(score_blocks(packed, known, order), "scores")
-    discard(packed, known)
+    rated = materialize(scores(docs, known, order, block_mb), "scores")
+    discard(known)
 
     held = rated.where("n_bytes > 0").join(near(trusted.where(fold == 0)), "doc_id", "left_semi")
     whole = held.agg(F.sum("nll"), F.sum("n_bytes")).first()
