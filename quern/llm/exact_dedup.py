@@ -10,8 +10,8 @@ different texts. The winner travels as one decimal (code points first, then the
 type that hash aggregation updates in place; there is no sort of texts.
 
 Defined results: null text counts as empty, empty texts form one group. A null id is never
-preferred to another id. Rows that repeat an id within one group share that group's decision.
-Columns besides the id and the text are ignored; an empty table gives an empty result.
+preferred to another id. Rows that repeat an id within one group share that group's decision in
+``duplicate_groups``; ``deduplicate`` leaves one row of each group all the same. Columns besides the id and the text are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import materialize
+
 #: [\x20\x09-\x0D]
 _WHITE = " \t\n\x0b\f\r"
 _TOP = 2**63
@@ -58,6 +60,12 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns."""
-    kept = duplicate_groups(docs, id_col, text_col, salts).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    return docs.join(kept, docs[id_col].cast("bigint").eqNullSafe(kept["__id"]) & (F.sha2(normalized(docs[text_col]), 256) == kept["__sha"]), "left_semi")
+    """One row of each group, with its own columns: of rows that repeat the id that stays (or of a group of null ids), any one."""
+    kept = duplicate_groups(docs, id_col, text_col, salts).where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.count(F.lit(1)).alias("__n"))
+    kept = materialize(kept, "winners")
+    same = lambda side: docs[id_col].cast("bigint").eqNullSafe(side["__id"]) & (F.sha2(normalized(docs[text_col]), 256) == side["__sha"])
+    once, more = kept.where("__n = 1"), kept.where("__n > 1")
+    if more.isEmpty():
+        return docs.join(once, same(once), "left_semi")
+    repeated = docs.join(more, same(more)).dropDuplicates(["__id", "__sha"]).select(*[docs[c] for c in docs.columns])
+    return docs.join(once, same(once), "left_semi").unionAll(repeated)
