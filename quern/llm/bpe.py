@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.workers import held
 from quern.session import ship
 
 #: White space as the tokenizer's pattern has it; str.split() also cuts at U+001C to U+001F.
@@ -194,14 +195,9 @@ class ForcedBoundaryBPE:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-_loaded: dict[str, ForcedBoundaryBPE] = {}
-
-
 def load(path: str) -> ForcedBoundaryBPE:
     """One encoder for each Python worker and file."""
-    if path not in _loaded:
-        _loaded[path] = ForcedBoundaryBPE(path)
-    return _loaded[path]
+    return held(("forced", path), lambda: ForcedBoundaryBPE(path))
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

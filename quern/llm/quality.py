@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.workers import release
 from quern.session import discard, materialize, ship
 
 _CHUNK = 1 << 20  # bytes of text that are turned into n-grams at once
@@ -118,6 +119,7 @@ def count_table(docs: DataFrame, order: int) -> DataFrame:
     schema = pa.schema([("text", pa.string()), ("train", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen = _Counter()
         for b in batches:
             for r in _rows(b, schema):

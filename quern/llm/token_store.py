@@ -1,9 +1,9 @@
 """Binary token store: ids by the ``tokenizers`` library, grammar-compressed by Re-Pair.
 
-Documents are range-partitioned by id; each range becomes one shard file. In a shard, frequent pairs of
+Documents are range-partitioned by id; each range becomes shard files of bounded size. In a shard, frequent pairs of
 neighbouring symbols are replaced by nonterminals, round after round: a round counts all pairs, takes
-the most frequent ones, replaces their occurrences that don't overlap, and the next round counts
-again, until no pair is frequent or the symbols are used up. No pair crosses a document's end.
+the most frequent ones, replaces their occurrences that don't overlap (in a run of one symbol every second
+pair), and the next round counts again, until no pair is frequent or the symbols are used up. No pair crosses a document's end.
 
 File format (little-endian): magic ``QTS1``; the numbers of documents, rules and symbols and the first
 nonterminal as unsigned 64-bit; ids of documents (signed 64-bit, with one byte each for null), tokens
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.bpe import TwoGenerationCache, byte_letters
 from quern.llm.files import open_shared
+from quern.llm.workers import held
 from quern.session import materialize, scratch, ship
 
 MAGIC = b"QTS1"
@@ -69,6 +70,11 @@ class ByteLevelEncoder:
 
     def _piece(self, piece: str) -> bytes:
         """Packed ids of a piece with the space before it; empty where white space makes the cut unsafe."""
+        bare = piece.rstrip(".,!?;:")
+        if bare.isalpha():
+            letters = bare if bare.isascii() else "".join(map(self._letters.__getitem__, bare.encode()))
+            mark = piece[len(bare) :]
+            return self._words[self._space + letters] + self._words[mark] if mark else self._words[self._space + letters]
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return b""
         if "<|" in piece:
@@ -91,13 +97,8 @@ class ByteLevelEncoder:
         return array.array("I", self.library.encode(first, add_special_tokens=False).ids).tobytes() + b"".join(parts)
 
 
-_loaded: dict[str, ByteLevelEncoder] = {}
-
-
 def load(path: str) -> ByteLevelEncoder:
-    if path not in _loaded:
-        _loaded[path] = ByteLevelEncoder(path)
-    return _loaded[path]
+    return held(("bytes", path), lambda: ByteLevelEncoder(path))
 
 
 # --- Re-Pair ---
@@ -116,11 +117,12 @@ def _frequent(keys: np.ndarray, least: int, most: int) -> np.ndarray:
 _SLOTS = 1 << 16
 
 
-def re_pair(ids: np.ndarray, ends: np.ndarray, first: int, least: int = 8, rounds: int = 8, limit: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def re_pair(ids: np.ndarray, ends: np.ndarray, first: int, least: int = 8, rounds: int | None = None, limit: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Compresses ``ids`` (all below ``first``); ``ends`` are the places of each document's last id.
 
     Returns the sequence, and left, right and expansion length of each rule. Symbols stay below
-    ``limit``; up to 2^16 a pair of them is a 32-bit key.
+    ``limit``; up to 2^16 a pair of them is a 32-bit key. Without ``rounds`` it goes on until no pair occurs
+    ``least`` times or the symbols are used up.
     """
     wide = limit > 1 << 16
     kind = np.uint64 if wide else np.uint32
@@ -129,8 +131,9 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, first: int, least: int = 8, round
     last = np.zeros(len(seq), bool)
     last[ends] = True
     left, right = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
-    following = first
-    for _ in range(rounds):
+    following, done = first, 0
+    while rounds is None or done < rounds:
+        done += 1
         room = limit - following
         if room <= 0 or len(seq) < 2:
             break
@@ -140,7 +143,7 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, first: int, least: int = 8, round
         if not len(pairs):
             break
         # One slot for each hash value; of pairs with the same slot the most frequent one is taken now.
-        slot_of = lambda k: (k * kind(2654435761) >> kind(12) & kind(_SLOTS - 1)).astype(np.intp)
+        slot_of = lambda k: (k * kind(2654435761) >> kind(12) & kind(_SLOTS - 1)).astype(np.uint16)
         _, taken = np.unique(slot_of(pairs), return_index=True)
         pairs = pairs[np.sort(taken)]
         table, rank = np.full(_SLOTS, ~kind(0), kind), np.full(_SLOTS, len(pairs), np.int32)
@@ -149,12 +152,22 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, first: int, least: int = 8, round
         at = slot_of(keys)
         hit = np.flatnonzero((table[at] == keys) & inside)
         order = rank[at[hit]]
-        # Of neighbours that overlap, the better rank stays; in a run of equal ranks the first.
+        # In a run of one symbol every second pair is taken; of other neighbours that overlap, the better rank.
+        same = np.zeros(len(hit), bool)
+        same[1:] = (np.diff(hit) == 1) & (order[:-1] == order[1:])
+        if same.any():
+            places = np.arange(len(hit))
+            odd = (places - np.maximum.accumulate(np.where(same, 0, places))) & 1 == 1
+            hit, order = hit[~odd], order[~odd]
         touch = np.diff(hit) == 1
         lose = np.zeros(len(hit), bool)
-        lose[1:] |= touch & (order[:-1] <= order[1:])
+        lose[1:] |= touch & (order[:-1] < order[1:])
         lose[:-1] |= touch & (order[1:] < order[:-1])
         hit, order = hit[~lose], order[~lose]
+        # A pair that lost nearly all its places to better ones waits; the best one never does.
+        often = np.bincount(order, minlength=len(pairs)) >= least // 2
+        often[0] = True
+        hit, order = hit[often[order]], order[often[order]]
         used, order = np.unique(order, return_inverse=True)
         seq[hit] = (following + order).astype(seq.dtype)
         last[hit] = last[hit + 1]
@@ -167,10 +180,10 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, first: int, least: int = 8, round
         following += len(used)
     lefts, rights = np.concatenate(left), np.concatenate(right)
     sizes = np.ones(following, np.int64)
-    done = first
+    at_rule = first
     for l, r in zip(left, right):  # a round's rules use symbols of earlier rounds only
-        sizes[done : done + len(l)] = sizes[l] + sizes[r]
-        done += len(l)
+        sizes[at_rule : at_rule + len(l)] = sizes[l] + sizes[r]
+        at_rule += len(l)
     return seq, lefts, rights, sizes[first:].astype(np.uint32)
 
 
@@ -202,9 +215,9 @@ class Grammar:
 # --- shards ---
 
 
-def shard_bytes(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, first: int, least: int, rounds: int) -> bytes:
+def shard_bytes(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, first: int, least: int) -> bytes:
     limit = 1 << 16 if first < 1 << 16 else 1 << 31
-    seq, left, right, sizes = re_pair(ids, np.cumsum(lengths) - 1, first, least, rounds, limit)
+    seq, left, right, sizes = re_pair(ids, np.cumsum(lengths) - 1, first, least, None, limit)
     null = np.array([d is None for d in doc_ids], np.uint8)
     own = np.array([0 if d is None else d for d in doc_ids], np.int64)
     head = MAGIC + struct.pack("<4Q", len(own), len(left), len(seq), first)
@@ -242,8 +255,11 @@ class Shard:
         return self.grammar.tokens(int(self.starts[k]), int(self.starts[k] + self.lengths[k]))
 
 
-def write_store(docs: DataFrame, path: str, end_id: int, folder: str, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", least: int = 8, rounds: int = 8) -> DataFrame:
-    """Writes the shards; the manifest (shard, path, documents, tokens, bytes, first_token) in order of ids."""
+def write_store(docs: DataFrame, path: str, end_id: int, folder: str, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", least: int = 8, shard_tokens: int = 6_000_000) -> DataFrame:
+    """Writes the shards; the manifest (part, shard, path, documents, tokens, bytes, first_token), in order of ids by part and shard.
+
+    ``shards`` ranges of ids are dealt to tasks; a task closes a shard with the document that fills ``shard_tokens``.
+    """
     spark = docs.sparkSession
     ship(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -253,29 +269,39 @@ def write_store(docs: DataFrame, path: str, end_id: int, folder: str, shards: in
         from pyspark import TaskContext
 
         encoder = load(path)
+        first = max(encoder.size, end_id + 1)
+        kind = np.uint16 if first < 1 << 16 else np.uint32
         doc_ids: list[int | None] = []
         lengths: list[int] = []
         parts: list[np.ndarray] = []
-        small = encoder.size < 1 << 16
+        closed = size = 0
+
+        def shard() -> pd.DataFrame:
+            data = shard_bytes(doc_ids, np.array(lengths), np.concatenate(parts), first, least)
+            uri = f"{folder}/shard-{uuid.uuid4().hex}.qts"
+            with open_shared(uri, True) as f:
+                f.write(data)
+            return pd.DataFrame({"part": [TaskContext.get().partitionId()], "shard": [closed], "path": [uri], "documents": [len(doc_ids)], "tokens": [size], "bytes": [len(data)]})
+
         for b in batches:
             for doc_id, text in zip(b["doc_id"].astype("object"), b["text"]):
                 packed = np.frombuffer(encoder.encode_packed(text) + end, "<u4")
                 doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
                 lengths.append(len(packed))
-                parts.append(packed.astype(np.uint16 if small else np.uint32))
-        if not doc_ids:
-            return
-        data = shard_bytes(doc_ids, np.array(lengths), np.concatenate(parts), max(encoder.size, end_id + 1), least, rounds)
-        uri = f"{folder}/shard-{uuid.uuid4().hex}.qts"
-        with open_shared(uri, True) as f:
-            f.write(data)
-        yield pd.DataFrame({"shard": [TaskContext.get().partitionId()], "path": [uri], "documents": [len(doc_ids)], "tokens": [sum(lengths)], "bytes": [len(data)]})
+                parts.append(packed.astype(kind))
+                size += len(packed)
+                if size >= shard_tokens:
+                    yield shard()
+                    doc_ids, lengths, parts, closed, size = [], [], [], closed + 1, 0
+        if doc_ids:
+            yield shard()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     ranges = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    manifest = materialize(ranges.mapInPandas(run, "shard int, path string, documents long, tokens long, bytes long"), "token-manifest")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
-    return manifest.withColumn("first_token", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    manifest = materialize(ranges.mapInPandas(run, "part int, shard int, path string, documents long, tokens long, bytes long"), "token-manifest")
+    before = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("tokens").alias("tokens")).select("part", before(Window.orderBy("part")).alias("upto"))  # one row a task
+    return manifest.withColumn("inside", before(Window.partitionBy("part").orderBy("shard"))).join(parts, "part").withColumn("first_token", F.col("upto") + F.col("inside")).drop("upto", "inside")
 
 
 def read_store(manifest: DataFrame, ids: bool = False) -> DataFrame:

@@ -1,6 +1,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -45,6 +46,31 @@ def test_frequent_pairs_are_replaced_most_frequent_first():
     assert (left[0], right[0], sizes[0]) == (1, 2, 2) and len(seq) <= 75
 
 
+def test_runs_halve_and_no_frequent_pair_is_left():
+    ids = np.full(8192, 7, np.uint16)
+    seq, left, right, sizes = token_store.re_pair(ids, np.array([8191]), 50257)
+    assert len(seq) <= 24 and np.array_equal(token_store.Grammar(seq, left, right, sizes, 50257).tokens(), ids)
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 12, 20_000).astype(np.uint16)
+    for first, limit in ((50257, 1 << 16), (70000, 1 << 31)):
+        seq, left, right, sizes = token_store.re_pair(ids, np.array([len(ids) - 1]), first, limit=limit)
+        pairs = list(zip(seq.tolist(), seq.tolist()[1:]))
+        assert max(Counter(pairs).values()) < 8 and first + len(left) < limit
+        assert np.array_equal(token_store.Grammar(seq, left, right, sizes, first).tokens(), ids)
+
+
+def test_wide_end_id_and_closed_shards(spark):
+    rows = [(i // 2, f"the of x {i} the of x") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    t = Tokenizer.from_file(PATH)
+    manifest = token_store.write_store(df, PATH, 70000, token_store.scratch(spark, "tokens"), shards=2, shard_tokens=100)
+    assert manifest.count() > 3
+    got = sorted((tuple(r) for r in token_store.read_store(manifest, ids=True).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [i for i, _ in rows]
+    assert sorted(r[4] for r in got) == sorted(t.encode(x, add_special_tokens=False).ids + [70000] for _, x in rows)
+    assert [r[1] for r in got] == np.concatenate([[0], np.cumsum([r[2] for r in got])[:-1]]).tolist()
+
+
 def test_store(spark):
     rng = random.Random(1)
     rows = [(i * 3 - 50, " ".join(rng.choice(["the", "of", "né", "x"]) for _ in range(rng.randint(0, 40))), "k") for i in range(100)]
