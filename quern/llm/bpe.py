@@ -41,17 +41,28 @@ def byte_letters() -> list[str]:
 
 
 class TwoGenerationCache(dict):
-    """A dict that makes missing values. Two generations of ``limit`` entries are held at most; ``turn``,
-    called between texts, starts a new generation when the present one is full, and what is used goes along."""
+    """A dict that makes missing values and keeps those that it was asked for twice; what occurs once leaves a mark only.
+
+    Two generations of ``limit`` entries are held at most; ``turn``, called between texts, starts a new
+    generation when the present one is full, and what is used goes along.
+    """
+
+    MARKS = (1 << 23) - 1
 
     def __init__(self, make, limit: int = 500_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
+        self.seen, self.marked = bytearray(self.MARKS + 1), 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            mark = hash(key) & self.MARKS
+            if not self.seen[mark]:
+                self.seen[mark] = 1
+                self.marked += 1
+                return value
         self[key] = value
         return value
 
@@ -59,16 +70,19 @@ class TwoGenerationCache(dict):
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
+        if self.marked > self.MARKS // 8:
+            self.seen, self.marked = bytearray(self.MARKS + 1), 0
 
 
 class ForcedBoundaryBPE:
-    def __init__(self, path: str, cache: int = 500_000):
+    def __init__(self, path: str, cache: int = 500_000, library: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self._normalizer = Tokenizer.from_file(path).normalizer
+        tokenizer = Tokenizer.from_file(path)
+        self._normalizer, self._model = tokenizer.normalizer, tokenizer.model if library else None
         model = spec["model"]
         self.vocab, self.end = model["vocab"], model["end_of_word_suffix"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
@@ -119,6 +133,8 @@ class ForcedBoundaryBPE:
 
     def word(self, word: str) -> tuple[int, ...]:
         letters = word if word.isalpha() and word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        if self._model:
+            return [t.id for t in self._model.tokenize(letters)]
         if self.inside.issuperset(zip(letters, letters[1:])):
             return self._fragments[letters + self.end]
         last, out = 0, []
@@ -195,9 +211,9 @@ class ForcedBoundaryBPE:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-def load(path: str) -> ForcedBoundaryBPE:
-    """One encoder for each Python worker and file."""
-    return held(("forced", path), lambda: ForcedBoundaryBPE(path))
+def load(path: str, library: bool = False) -> ForcedBoundaryBPE:
+    """One encoder for each Python worker and file; with ``library`` it leaves the merges of a word to the library."""
+    return held(("forced", path, library), lambda: ForcedBoundaryBPE(path, library=library))
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

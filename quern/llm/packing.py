@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = bpe.load(path)
+        encoder = bpe.load(path, library=True)
         for b in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(b["doc_id"], b["text"]):

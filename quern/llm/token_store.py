@@ -39,10 +39,14 @@ from quern.session import materialize, scratch, ship
 MAGIC = b"QTS1"
 
 
+class _Unsafe(Exception):
+    """The text can't be cut at that space."""
+
+
 class ByteLevelEncoder:
     """Ids of a byte-level tokenizer file, as the library's ``encode(text, add_special_tokens=False)`` gives them."""
 
-    def __init__(self, path: str, cache: int = 500_000):
+    def __init__(self, path: str, cache: int = 800_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -51,7 +55,7 @@ class ByteLevelEncoder:
         self.size = self.library.get_vocab_size()
         self._model, self._split = self.library.model, self.library.pre_tokenizer
         self._pieces = TwoGenerationCache(self._piece, cache)
-        self._words = TwoGenerationCache(self._word, cache // 2)
+        self._words = TwoGenerationCache(self._word, cache // 8)
         self._letters = byte_letters()
         self._space, self._break = self._letters[32], self._letters[10]
 
@@ -69,14 +73,14 @@ class ByteLevelEncoder:
         return b"".join(self._words[w] for w, _ in self._split.pre_tokenize_str(" " + part if lead else part))
 
     def _piece(self, piece: str) -> bytes:
-        """Packed ids of a piece with the space before it; empty where white space makes the cut unsafe."""
+        """Packed ids of a piece with the space before it. White space at its ends makes the cut unsafe: that raises."""
         bare = piece.rstrip(".,!?;:")
         if bare.isalpha():
             letters = bare if bare.isascii() else "".join(map(self._letters.__getitem__, bare.encode()))
             mark = piece[len(bare) :]
-            return self._words[self._space + letters] + self._words[mark] if mark else self._words[self._space + letters]
+            return self._word(self._space + letters) + self._words[mark] if mark else self._word(self._space + letters)
         if not piece or piece[0].isspace() or piece[-1].isspace():
-            return b""
+            raise _Unsafe
         if "<|" in piece:
             return array.array("I", self.library.encode(" " + piece, add_special_tokens=False).ids).tobytes()
         first, *more = piece.split("\n")
@@ -91,10 +95,12 @@ class ByteLevelEncoder:
         first, *pieces = (text or "").split(" ")
         self._pieces.turn()
         self._words.turn()
-        parts = list(map(self._pieces.__getitem__, pieces))
-        if b"" in parts or first[-1:].isspace() or not first:
-            return array.array("I", self.library.encode(text or "", add_special_tokens=False).ids).tobytes()
-        return array.array("I", self.library.encode(first, add_special_tokens=False).ids).tobytes() + b"".join(parts)
+        if first and not first[-1].isspace():
+            try:
+                return array.array("I", self.library.encode(first, add_special_tokens=False).ids).tobytes() + b"".join(map(self._pieces.__getitem__, pieces))
+            except _Unsafe:
+                pass
+        return array.array("I", self.library.encode(text or "", add_special_tokens=False).ids).tobytes()
 
 
 def load(path: str) -> ByteLevelEncoder:
@@ -139,7 +145,7 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, first: int, least: int = 8, round
             break
         keys = seq[:-1].astype(kind) << shift | seq[1:]
         inside = ~last[:-1]
-        pairs = _frequent(keys[inside], least, min(room, _SLOTS // 16))
+        pairs = _frequent(keys[inside], least, _SLOTS // 16)
         if not len(pairs):
             break
         # One slot for each hash value; of pairs with the same slot the most frequent one is taken now.
@@ -167,6 +173,7 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, first: int, least: int = 8, round
         # A pair that lost nearly all its places to better ones waits; the best one never does.
         often = np.bincount(order, minlength=len(pairs)) >= least // 2
         often[0] = True
+        often[np.flatnonzero(often)[room:]] = False
         hit, order = hit[often[order]], order[often[order]]
         used, order = np.unique(order, return_inverse=True)
         seq[hit] = (following + order).astype(seq.dtype)
@@ -192,10 +199,11 @@ class Grammar:
 
     def __init__(self, seq: np.ndarray, left: np.ndarray, right: np.ndarray, sizes: np.ndarray, first: int):
         self.seq, self.first = seq, first
-        flat: list[np.ndarray] = []
+        single = np.arange(first, dtype="<u4").tobytes()
+        flat = [single[x : x + 4] for x in range(0, len(single), 4)]
         for l, r in zip(left.tolist(), right.tolist()):
-            flat.append(np.concatenate([flat[x - first] if x >= first else np.array([x], np.uint32) for x in (l, r)]))
-        self.flat = np.concatenate([np.arange(first, dtype=np.uint32), *flat])
+            flat.append(flat[l] + flat[r])
+        self.flat = np.frombuffer(b"".join(flat), "<u4")
         self.sizes = np.concatenate([np.ones(first, np.int64), sizes.astype(np.int64)])
         self.places = np.cumsum(self.sizes) - self.sizes
         self.upto = np.concatenate([[0], np.cumsum(self.sizes[seq])])
