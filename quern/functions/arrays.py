@@ -152,15 +152,20 @@ def fixed_fraction(n: Column | str, fraction: float, least: int, most: int) -> C
 
 
 def union_kl(p: Column | str, q: Column | str, floor: float) -> Column:
-    """KL(p || q) of two top-K maps token -> log probability on the union of their tokens; missing ones get ``floor``, both are normalised."""
+    """KL(p || q) of two top-K maps token -> log probability on the union of their tokens; missing ones get ``floor``, both are normalised.
+
+    Everything stays in logarithms, shifted by the largest, so very small probabilities count as they are.
+    """
     p, q = _c(p), _c(q)
     tokens = F.array_sort(F.array_union(F.map_keys(p), F.map_keys(q)))
 
-    def weights(m: Column) -> Column:
-        raw = F.transform(tokens, lambda t: F.exp(F.coalesce(F.try_element_at(m, t), F.lit(float(floor)))))
-        return F.transform(raw, lambda x: x / _sum(raw))
+    def normal(m: Column) -> Column:
+        raw = F.transform(tokens, lambda t: F.coalesce(F.try_element_at(m, t).cast("double"), F.lit(float(floor))))
+        total = lambda r: F.array_max(r) + F.log(_sum(F.transform(r, lambda x: F.exp(x - F.array_max(r)))))
+        bound = F.transform(F.array(raw), lambda r: F.struct(r.alias("r"), total(r).alias("z")))
+        return F.get(F.transform(bound, lambda z: F.transform(z["r"], lambda x: x - z["z"])), F.lit(0))
 
-    return _sum(F.zip_with(weights(p), weights(q), lambda a, b: a * F.log(a / b)))
+    return _sum(F.zip_with(normal(p), normal(q), lambda a, b: F.exp(a) * (a - b)))
 
 
 def position_signal(privileged: Column | str, base: Column | str, size: Column | str) -> Column:
@@ -172,23 +177,37 @@ def step_bounds(pieces: Column | str, least_steps: int = 3) -> Column:
     """Ends (exclusive) of the steps of token pieces: after blank lines, or after sentences where blank lines give
     fewer than ``least_steps`` steps and sentences give more.
 
-    A step of white space alone belongs to the one before it. The last end is the number of pieces.
+    A step of white space alone belongs to the one before it. The last end is the number of pieces. One pass:
+    one-element arrays bind what is used several times, so it is computed once.
     """
-    a = _c(pieces)
-    n = F.size(a)
-
-    def closed(test) -> Column:
-        """Places after which ``test`` holds, without those that close nothing but white space."""
-        places = F.filter(F.transform(a, lambda x, i: F.when(test(x, i), i + 1)), lambda e: e.isNotNull() & (e < n))
-        solid = lambda start, end: F.exists(F.slice(a, start + 1, end - start), lambda x: x.rlike(r"\S"))
-        kept = F.filter(places, lambda e, k: solid(F.coalesce(F.get(places, k - 1), F.lit(0)), e))
-        last = F.coalesce(F.get(kept, F.size(kept) - 1), F.lit(0))
-        kept = F.when((F.size(kept) > 0) & ~solid(last, n), F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(kept)
-        return F.concat(kept, F.array(n))
-
-    before = lambda i: F.coalesce(F.get(a, i - 1), F.lit(""))
-    after = lambda i: F.coalesce(F.get(a, i + 1), F.lit(""))
-    blank = closed(lambda x, i: F.contains(x, F.lit("\n\n")) | (before(i).endswith("\n") & x.startswith("\n")))
-    sentence = closed(lambda x, i: x.rlike(r"[.!?][\"')\]]*\s") | (x.rlike(r"[.!?][\"')\]]*$") & after(i).rlike(r"^[ \n\t]")))
-    chosen = F.when((F.size(blank) < least_steps) & (F.size(sentence) > F.size(blank)), sentence).otherwise(blank)
-    return F.when(n > 0, chosen).otherwise(F.array().cast("array<int>"))
+
+    def mark(a: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(a, i - 1), F.lit(""))
+        after = lambda i: F.coalesce(F.get(a, i + 1), F.lit(""))
+        blank = lambda x, i: F.contains(x, F.lit("\n\n")) | (before(i).endswith("\n") & x.startswith("\n"))
+        sentence = lambda x, i: x.rlike(r"[.!?][\"')\]]*\s") | (x.rlike(r"[.!?][\"')\]]*$") & after(i).rlike(r"^[ \n\t]"))
+        marks = F.transform(a, lambda x, i: F.struct((i + 1).alias("end"), x.rlike(r"\S").alias("solid"), blank(x, i).alias("blank"), sentence(x, i).alias("sentence")))
+        return F.get(F.transform(F.array(marks), choose), F.lit(0))
+
+    def choose(marks: Column) -> Column:
+        n = F.size(marks)
+
+        def closed(name: str) -> Column:
+            """A place counts if something solid stands between it and the last one that counted."""
+
+            def step(s: Column, m: Column) -> Column:
+                solid = s["solid"] | m["solid"]
+                ends = m[name] & solid & (m["end"] < n)
+                return F.struct(F.when(ends, F.concat(s["kept"], F.array(m["end"]))).otherwise(s["kept"]).alias("kept"), (solid & ~ends).alias("solid"))
+
+            def finish(s: Column) -> Column:
+                rest = F.when(s["solid"], s["kept"]).otherwise(F.slice(s["kept"], F.lit(1), F.greatest(F.size(s["kept"]) - 1, F.lit(0))))
+                return F.concat(rest, F.array(n))
+
+            return F.aggregate(marks, F.struct(F.array().cast("array<int>").alias("kept"), F.lit(False).alias("solid")), step, finish)
+
+        both = F.array(F.struct(closed("blank").alias("b"), closed("sentence").alias("s")))
+        chosen = F.transform(both, lambda z: F.when((F.size(z["b"]) < least_steps) & (F.size(z["s"]) > F.size(z["b"])), z["s"]).otherwise(z["b"]))
+        return F.when(n > 0, F.get(chosen, F.lit(0))).otherwise(F.array().cast("array<int>"))
+
+    return F.get(F.transform(F.array(_c(pieces)), mark), F.lit(0))

@@ -116,3 +116,10 @@ def drop_reason(*rules: tuple[str, Column]) -> Column:
     for name, rule in reversed(rules):
         out = F.when(rule, name).otherwise(out)
     return out
+
+
+def mean_at_least(values: Column | str, least: float) -> Column:
+    """The mean of the known values reaches ``least``; without any it does not."""
+    from quern.functions.arrays import mean
+
+    return F.coalesce(mean(values) >= F.lit(float(least)), F.lit(False))

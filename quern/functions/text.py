@@ -87,9 +87,30 @@ def _part(v) -> Column:
     return F.concat(F.encode(F.lit(shown), "UTF-8"), F.unhex(F.lit("00")))
 
 
+#: What a quoted text shows as a number: controls, formats and separators other than the space.
+_HIDDEN = r"[\p{C}\p{Z}&&[^ ]]"
+
+
 def quoted(x: Column | str) -> Column:
-    """How a text column enters ``stable_hash`` (exact for texts without quotes, backslashes and control characters)."""
-    return F.concat(F.lit("'"), _c(x), F.lit("'"))
+    """How a text column enters ``stable_hash``: as Python's ``repr`` writes it.
+
+    Double quotes hold it where it has single ones only; backslashes, the quote and hidden characters are escaped.
+    """
+    text = _c(x)
+    double = F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"'))
+    plain = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    plain = F.when(double, plain).otherwise(F.replace(plain, F.lit("'"), F.lit("\\'")))
+    for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        plain = F.replace(plain, F.lit(raw), F.lit(shown))
+
+    def shown_as(c: Column) -> Column:
+        number = F.lower(F.hex(F.ascii(c)))
+        wide = F.when(F.length(number) <= 2, F.concat(F.lit("\\x"), F.lpad(number, 2, "0"))).when(F.length(number) <= 4, F.concat(F.lit("\\u"), F.lpad(number, 4, "0")))
+        return F.when(c.rlike(_HIDDEN), wide.otherwise(F.concat(F.lit("\\U"), F.lpad(number, 8, "0")))).otherwise(c)
+
+    hidden = F.array_join(F.transform(F.split(plain, ""), shown_as), "")
+    mark = F.when(double, '"').otherwise("'")
+    return F.concat(mark, F.when(plain.rlike(_HIDDEN), hidden).otherwise(plain), mark)
 
 
 def stable_hash(*parts) -> Column:

@@ -16,7 +16,7 @@ GATES: Registry[Callable[[dict], Column]] = Registry("gate")
 
 @GATES.register("correctness")
 def _correctness(cfg: dict) -> Column:
-    """Ungraded rows (null) fail as ungraded; a verifier may fill them before."""
+    """Rows that are still ungraded (null) fail as ungraded; ``run_gates`` fills them first where it is given ``grade``."""
     return F.when(F.col("correct").isNull(), "ungraded").when(~F.col("correct"), "incorrect")
 
 
@@ -33,22 +33,28 @@ def _length(cfg: dict) -> Column:
 
 @GATES.register("leakage_rules")
 def _leakage(cfg: dict) -> Column:
-    return F.when(leaks(cfg.get("text_column", "continuation_text"), cfg.get("patterns", LEAKAGE_PATTERNS)), "leak")
+    return F.when(leaks(cfg.get("text_column", "continuation_text"), cfg.get("patterns", LEAKAGE_PATTERNS)), "pattern")
 
 
 #: The one gate with a memory: of equal contents the first that reached it passes.
 DEDUP = "dedup"
 
 
-def run_gates(candidates: DataFrame, gates: list[str], cfg: dict, ordinal: list[str], content: list[str] | None = None) -> DataFrame:
+def run_gates(candidates: DataFrame, gates: list[str], cfg: dict, ordinal: list[str], content: list[str] | None = None, grade: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Adds reject_key (``gate:reason``, null where all gates pass).
 
+    ``grade`` fills ``correct`` of the rows that have none (lazily: graded rows never reach it), for example
+    ``seams.graded`` with a verifier.
+
     Stateless gates are one CASE column. The duplicate gate sees only rows that got as far as it, so
     the chain is cut there: rows that failed before keep their key and take no part in the ranking.
     """
     unknown = [g for g in gates if g != DEDUP and g not in GATES]
     if unknown:
         raise KeyError(f"unknown gates {unknown}; known: {[*GATES.names(), DEDUP]}")
+    if grade is not None:
+        graded = grade(candidates.where("correct is null")).select(*candidates.columns)
+        candidates = candidates.where("correct is not null").unionByName(graded)
     out = candidates.withColumn("reject_key", F.lit(None).cast("string"))
     for g in gates:
         if g == DEDUP:
@@ -65,5 +71,5 @@ def run_gates(candidates: DataFrame, gates: list[str], cfg: dict, ordinal: list[
 def with_quota(gated: DataFrame, order: list, k: int, name: str = "over_quota") -> DataFrame:
     """Survivors beyond ``k`` a question (by ``order``) get ``selection:over_quota`` as their key."""
     alive = F.col("reject_key").isNull()
-    w = Window.partitionBy("qid", alive).orderBy(*[F.col(o) if isinstance(o, str) else o for o in order])
+    w = Window.partitionBy("qid", alive).orderBy(*[F.col(o).asc_nulls_last() if isinstance(o, str) else o for o in order])
     return gated.withColumn("reject_key", F.when(alive & (F.row_number().over(w) > k), F.lit(f"selection:{name}")).otherwise(F.col("reject_key")))

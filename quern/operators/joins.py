@@ -48,14 +48,14 @@ def flagged(df: DataFrame, chosen: DataFrame, keys: list[str], name: str) -> Dat
     return df.join(chosen.select(*keys).distinct().withColumn(name, F.lit(True)), keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
-def replaced(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` in place of all old rows with their keys."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+def replaced(old: DataFrame, new: DataFrame, keys: list[str], redone: DataFrame) -> DataFrame:
+    """Rows of ``new`` in place of all old rows whose keys are in ``redone``, also where the second pass gave nothing."""
+    return old.join(redone.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
 def with_fallback(left: DataFrame, first: DataFrame, second: DataFrame, first_on: list[str], second_on: list[str], value: str) -> DataFrame:
-    """``value`` by the first lookup, else by the second (its smallest value for a key)."""
-    a = first.select(*first_on, F.col(value).alias("__a"))
+    """``value`` by the first lookup, else by the second (the smallest value of a key in either, so rows never multiply)."""
+    a = first.groupBy(*first_on).agg(F.min(value).alias("__a"))
     b = second.groupBy(*second_on).agg(F.min(value).alias("__b"))
     return left.join(a, first_on, "left").join(b, second_on, "left").withColumn(value, F.coalesce("__a", "__b")).drop("__a", "__b")
 

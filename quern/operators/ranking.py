@@ -10,7 +10,8 @@ from quern.session import materialize
 
 
 def _cols(cols) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in cols]
+    """Names order ascending, nulls last: what can't be scored never wins."""
+    return [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in cols]
 
 
 def ranked(df: DataFrame, keys: list[str], order: list, name: str = "rank") -> DataFrame:
@@ -107,15 +108,22 @@ def rolling_mean(df: DataFrame, keys: list[str], order: list, value: str, window
 
 
 def plateau(rewards: Column, window: int, patience: int, least_gain: float) -> Column:
-    """struct<best, stale, stop_at>: the rolling mean's best so far, rounds without gain, and the first place to stop (-1: none)."""
-    start = F.struct(F.lit(-1e300).alias("best"), F.lit(0).alias("stale"), F.lit(-1).alias("stop_at"), F.lit(0).alias("i"))
-
-    def step(s: Column, _: Column) -> Column:
-        part = F.slice(rewards, F.greatest(s["i"] + 2 - window, F.lit(1)), F.least(s["i"] + 1, F.lit(window)))
-        now = F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / F.size(part)
-        gain = now > s["best"] + least_gain
-        stale = F.when(gain, 0).otherwise(s["stale"] + 1)
-        stop = (stale >= patience) | (now >= 1.0)
-        return F.struct(F.when(gain, now).otherwise(s["best"]).alias("best"), stale.alias("stale"), F.when((s["stop_at"] < 0) & stop, s["i"]).otherwise(s["stop_at"]).alias("stop_at"), (s["i"] + 1).alias("i"))
+    """struct<best, stale, stop_at> of a reward series: the first place to stop (-1: none), and the state there.
+
+    A reward of 1 stops at once. Else the mean of the last ``window`` rewards is compared with the best such
+    mean so far (null until the first full window); ``patience`` rounds without gain stop.
+    """
+    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("stale"), F.lit(-1).alias("stop_at"), F.array().cast("array<double>").alias("held"), F.lit(0).alias("i"))
+
+    def step(s: Column, x: Column) -> Column:
+        held = F.slice(F.concat(s["held"], F.array(x.cast("double"))), F.greatest(F.size(s["held"]) + 2 - window, F.lit(1)), F.lit(window))
+        now = F.aggregate(held, F.lit(0.0), lambda a, v: a + v) / window
+        solved, judged = x >= 1.0, F.size(held) >= window
+        gain = F.coalesce(now > s["best"] + least_gain, F.lit(True))
+        best = F.when(judged & gain & ~solved, now).otherwise(s["best"])
+        stale = F.when(~judged | solved, s["stale"]).when(gain, 0).otherwise(s["stale"] + 1)
+        stop = F.when(solved | (judged & ~gain & (stale >= patience)), s["i"]).otherwise(-1)
+        following = F.struct(best.alias("best"), stale.alias("stale"), stop.alias("stop_at"), held.alias("held"), (s["i"] + 1).alias("i"))
+        return F.when(s["stop_at"] >= 0, s).otherwise(following)
 
     return F.aggregate(rewards, start, step, lambda s: F.struct(s["best"].alias("best"), s["stale"].alias("stale"), s["stop_at"].alias("stop_at")))

@@ -139,7 +139,7 @@ def _(s, d):
 
 GATED = """, g AS (SELECT *, CASE WHEN correct IS NULL THEN 'correctness:ungraded' WHEN NOT correct THEN 'correctness:incorrect' WHEN external_context IS NOT NULL THEN 'no_external_context:external_context' WHEN n_total > 4000 THEN 'length:too_long' END AS k1 FROM c),
 h AS (SELECT *, CASE WHEN k1 IS NULL AND row_number() OVER (PARTITION BY qid, continuation_text, k1 IS NULL ORDER BY attempt_idx) > 1 THEN 'dedup:duplicate' END AS k2 FROM g),
-k AS (SELECT *, coalesce(k1, k2, CASE WHEN regexp_matches(lower(continuation_text), '\\breference solution\\b|\\bas given\\b|\\bthe hint\\b') THEN 'leakage_rules:leak' END) AS reject_key FROM h)"""
+k AS (SELECT *, coalesce(k1, k2, CASE WHEN regexp_matches(lower(continuation_text), '\\breference solution\\b|\\bas given\\b|\\bthe hint\\b') THEN 'leakage_rules:pattern' END) AS reject_key FROM h)"""
 LEAKS = (r"\breference solution\b", r"\bas given\b", r"\bthe hint\b")
 
 
@@ -209,9 +209,10 @@ def _(s, d):
     return r8(a.join(b, "attempt_idx").select("attempt_idx", z["d_tail"].alias("d_tail")), "d_tail")
 
 
-@query("kept_min_c", SCORED + " SELECT qid, attempt_idx FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(c, 9), attempt_idx) <= 2")
+@query("kept_min_c", SCORED + " SELECT qid, attempt_idx FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN attempt_idx % 5 <> 0 THEN round(c, 9) END NULLS LAST, attempt_idx) <= 2")
 def _(s, d):
-    return K.keep_k(scored(s, d).select("qid", "attempt_idx", F.round("c", 9).alias("c")), ["qid"], ["c", "attempt_idx"], 2).select("qid", "attempt_idx")
+    c = F.when(F.col("attempt_idx") % 5 != 0, F.round("c", 9)).alias("c")  # what can't be scored comes last
+    return K.keep_k(scored(s, d).select("qid", "attempt_idx", c), ["qid"], ["c", "attempt_idx"], 2).select("qid", "attempt_idx")
 
 
 @query("score_percentiles", SCORED + " SELECT qid, count(c) AS n, round(avg(c), 8) AS mean, round(quantile_disc(c, 0.5), 8) AS p50, round(quantile_disc(c, 0.9), 8) AS p90, round(quantile_disc(c, 0.95), 8) AS p95, round(quantile_disc(c, 0.99), 8) AS p99, round(max(c), 8) AS max FROM f GROUP BY qid")
@@ -225,9 +226,10 @@ def _(s, d):
     return r8(z, "total", "mean")
 
 
-@query("logprob_gate", f"WITH {X.L} SELECT attempt_idx, list_sum(token_logprobs) / len(token_logprobs) >= -0.1 AS passes FROM l")
+@query("logprob_gate", f"WITH {X.L} SELECT attempt_idx, attempt_idx % 7 <> 0 AND list_sum(token_logprobs) / len(token_logprobs) >= -0.1 AS passes FROM l")
 def _(s, d):
-    return X.logprobs(s, d).select("attempt_idx", (A.mean("token_logprobs") >= -0.1).alias("passes"))
+    known = F.when(F.col("attempt_idx") % 7 != 0, F.col("token_logprobs"))
+    return X.logprobs(s, d).select("attempt_idx", P.mean_at_least(known, -0.1).alias("passes"))
 
 
 @query("selection_stats", SCORED + """, k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(c, 9), attempt_idx) <= 2 AS kept FROM f), m AS (SELECT avg(m) AS cm FROM (SELECT min(c) AS m FROM f GROUP BY qid))
@@ -290,9 +292,9 @@ def _(s, d):
     return K.keep_k(m, ["qid"], [F.col("ml").desc_nulls_last(), "attempt_idx"], 1).select("qid", "attempt_idx")
 
 
-@query("control_pairing", "WITH p AS (SELECT *, row_number() OVER (ORDER BY n_chars, doc_id) AS r, count(*) OVER () AS n FROM documents WHERE lang = 'es') SELECT a.doc_id, b.doc_id AS partner FROM p a JOIN p b ON b.r = a.r % a.n + 1 WHERE a.n > 1")
+@query("control_pairing", "WITH p AS (SELECT *, row_number() OVER (ORDER BY n_chars, doc_id) AS r, count(*) OVER () AS n FROM documents) SELECT a.doc_id, b.doc_id AS partner FROM p a JOIN p b ON b.r = a.r % a.n + 1 WHERE a.n > 1")
 def _(s, d):
-    rows = read_table(s, d, "documents").where("lang = 'es'").select("doc_id", "n_chars")
+    rows = read_table(s, d, "documents").select("doc_id", "n_chars")
     return K.cyclic_neighbour(rows, ["n_chars", "doc_id"], "doc_id", "partner").select("doc_id", "partner")
 
 
@@ -333,9 +335,9 @@ def _(s, d):
     return r8(G.alpha_survival(G.alpha_curve(X.alphas(s, d)), 0.5), "alpha", "p_hat_mean")
 
 
-@query("alpha_grid_budget", "SELECT o_orderkey AS qid, alpha, least(64 - n, 16) AS budget FROM (SELECT o_orderkey, length(o_orderpriority) * 6 AS n FROM orders WHERE o_orderkey < 3000), (SELECT unnest([0.2, 0.6, 1.0])::DOUBLE AS alpha) WHERE 64 - n > 0")
+@query("alpha_grid_budget", "SELECT o_orderkey AS qid, alpha, least(64 - n, 16) AS budget FROM (SELECT o_orderkey, length(o_orderpriority) * 6 AS n FROM orders), (SELECT unnest([0.2, 0.6, 1.0])::DOUBLE AS alpha) WHERE 64 - n > 0")
 def _(s, d):
-    rows = read_table(s, d, "orders").where("o_orderkey < 3000").select(F.col("o_orderkey").alias("qid"), (F.length("o_orderpriority") * 6).alias("n"))
+    rows = read_table(s, d, "orders").select(F.col("o_orderkey").alias("qid"), (F.length("o_orderpriority") * 6).alias("n"))
     return joins.grid(rows, [0.2, 0.6, 1.0], "alpha").select("qid", "alpha", P.token_budget("n", 64, 16).cast("bigint").alias("budget")).where("budget is not null")
 
 
@@ -390,7 +392,7 @@ def _(s, d):
 def _(s, d):
     old = read_table(s, d, "customer").select("c_custkey", "c_nationkey")
     new = read_table(s, d, "supplier").where("s_nationkey in (3, 7)").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_nationkey").alias("c_nationkey"))
-    return joins.replaced(old, new, ["c_nationkey"])
+    return joins.replaced(old, new, ["c_nationkey"], read_table(s, d, "nation").where("n_nationkey in (3, 7)").select(F.col("n_nationkey").alias("c_nationkey")))
 
 
 @query("round_robin_shards", "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) % 7 AS shard FROM orders")
@@ -451,9 +453,9 @@ def _(s, d):
     return r8(joins.require_equal(out, F.col("question"), F.col("theirs"), "curation").select("qid", "row_idx", "c_acctbal"), "c_acctbal")
 
 
-@query("overriding_join", "SELECT s_suppkey, coalesce(c_acctbal, s_acctbal) AS s_acctbal FROM supplier LEFT JOIN (SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 3 = 0) ON c_custkey = s_suppkey")
+@query("overriding_join", "SELECT s_suppkey, coalesce(c_acctbal, s_acctbal) AS s_acctbal FROM supplier LEFT JOIN (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END AS c_acctbal FROM customer) ON c_custkey = s_suppkey")
 def _(s, d):
-    right = read_table(s, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_acctbal").alias("s_acctbal"))
+    right = read_table(s, d, "customer").select(F.col("c_custkey").alias("s_suppkey"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_acctbal")).alias("s_acctbal"))
     return joins.overriding(read_table(s, d, "supplier").select("s_suppkey", "s_acctbal"), right, ["s_suppkey"])
 
 
@@ -486,10 +488,10 @@ def _(s, d):
     return read_table(s, d, "part").select("p_partkey", T.normalize_answer(F.concat(F.lit("$ "), "p_name", F.lit("$"))).alias("answer"))
 
 
-@query("clean_solutions", "SELECT doc_id, sha256(trim(text)) AS text_sha, doc_id % 2 = 0 AS stripped FROM documents WHERE lang = 'en'")
+@query("clean_solutions", "SELECT doc_id, sha256(trim(text)) AS text_sha, doc_id % 2 = 0 AS stripped FROM documents")
 def _(s, d):
     raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<think>a</think> hm</think>\n"), "text")).otherwise(F.col("text"))
-    return read_table(s, d, "documents").where("lang = 'en'").select("doc_id", T.clean_solution(raw).alias("z")).select("doc_id", F.sha2("z.text", 256).alias("text_sha"), F.col("z.stripped").alias("stripped"))
+    return read_table(s, d, "documents").select("doc_id", T.clean_solution(raw).alias("z")).select("doc_id", F.sha2("z.text", 256).alias("text_sha"), F.col("z.stripped").alias("stripped"))
 
 
 @query("chat_render", "SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
@@ -508,21 +510,21 @@ def _(s, d):
     return read_table(s, d, "orders").select("o_orderkey", T.stable_seed(5, kv("o_orderkey")).alias("seed"))
 
 
-@query("verdicts_native", "SELECT p_partkey, p_size % 2 = 0 AS correct, p_size % 3 <> 0 AS formatted FROM (SELECT * FROM part WHERE p_size % 3 <> 0 UNION ALL SELECT * FROM part WHERE p_size % 3 = 0 AND p_size % 2 <> 0)")
+@query("verdicts_native", "SELECT p_partkey, p_size % 2 = 0 AND p_size % 3 <> 0 AS correct, p_size % 3 <> 0 AS formatted FROM part")
 def _(s, d):
     from quern import seams
 
-    p = read_table(s, d, "part").where("p_size % 3 <> 0 or p_size % 2 <> 0")
+    p = read_table(s, d, "part")
     answer = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("$"), F.upper("p_name"), F.lit("$"))).otherwise(F.lit("other"))
     text = F.when(F.col("p_size") % 3 != 0, F.concat(F.lit("so \\boxed{"), answer, F.lit("}"))).otherwise(F.lit("none"))
     return p.select("p_partkey", seams.verdict_native("p_name", text).alias("z")).select("p_partkey", "z.correct", "z.formatted")
 
 
-@query("verdicts_udf", "SELECT p_partkey, true AS correct, p_size || '/2' AS extracted FROM part WHERE p_size % 2 = 1")
+@query("verdicts_udf", "SELECT p_partkey, p_size % 2 = 1 AS correct, p_size || '/2' AS extracted FROM part")
 def _(s, d):
     from quern import seams
 
-    p = read_table(s, d, "part").where("p_size % 2 = 1").select("p_partkey", F.format_string("\\frac{%d}{4}", (F.col("p_size") * 2).cast("int")).alias("gold"), F.format_string("\\boxed{%d/2}", F.col("p_size").cast("int")).alias("text"))
+    p = read_table(s, d, "part").select("p_partkey", F.format_string("\\frac{%d}{4}", (F.col("p_size") * 2 + F.when(F.col("p_size") % 2 == 1, 0).otherwise(1)).cast("int")).alias("gold"), F.format_string("\\boxed{%d/2}", F.col("p_size").cast("int")).alias("text"))
     return seams.verdict(p, "math_strict", F.col("gold"), F.col("text")).select("p_partkey", "verdict.correct", "verdict.extracted")
 
 
@@ -535,7 +537,11 @@ def _(s, d):
     return K.rolling_mean(e, ["user_id"], ["ts", "event_id"], "value", 5, "mean5").select("event_id", F.round("mean5", 6).alias("mean5"))
 
 
-@query("reward_plateau")
+@query("reward_plateau", """WITH RECURSIVE e AS (SELECT user_id, value / 1000 AS v, row_number() OVER w - 1 AS i, CASE WHEN row_number() OVER w >= 5 THEN sum(value / 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / 5 END AS m FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+z AS (SELECT DISTINCT user_id, -1 AS i, NULL::DOUBLE AS best, 0 AS stale, -1 AS stop_at FROM events
+  UNION ALL SELECT e.user_id, e.i::INT, CASE WHEN v < 1 AND m IS NOT NULL AND coalesce(m > best + 0.001, true) THEN m ELSE best END, CASE WHEN v >= 1 OR m IS NULL THEN stale WHEN coalesce(m > best + 0.001, true) THEN 0 ELSE stale + 1 END,
+    CASE WHEN v >= 1 OR (m <= best + 0.001 AND stale + 1 >= 6) THEN e.i ELSE -1 END::INT FROM z JOIN e ON e.user_id = z.user_id AND e.i = z.i + 1 WHERE z.stop_at < 0)
+SELECT user_id, round(best, 8) AS best, stale, stop_at FROM z QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1""")
 def _(s, d):
     e = read_table(s, d, "events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", (F.col("value") / 1000).alias("v")))), lambda x: x["v"]).alias("rewards"))
     return e.select("user_id", K.plateau(F.col("rewards"), 5, 6, 0.001).alias("z")).select("user_id", F.round("z.best", 8).alias("best"), "z.stale", "z.stop_at")
@@ -601,7 +607,16 @@ def _(s, d):
     return read_table(s, d, "part").where("p_size > 0").select("p_partkey", pair.alias("z")).select("p_partkey", F.size("z.input_ids").alias("n_ids"), "z.prompt_len", "z.anchor_len", "z.completion_len")
 
 
-@query("step_bounds")
+@query("step_bounds", r"""WITH p AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[ \t\n\x0b\f\r]?[^ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+') AS a FROM documents),
+u AS (SELECT doc_id, len(a) AS n, unnest(a) AS x, unnest(range(1, len(a) + 1)) AS i FROM p),
+w AS (SELECT *, lag(x, 1, '') OVER o AS before, lead(x, 1, '') OVER o AS after, count(*) FILTER (regexp_matches(x, '[^ \t\n\x0b\f\r]')) OVER (PARTITION BY doc_id ORDER BY i) AS solid FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+m AS (SELECT doc_id, n, i, solid, contains(x, chr(10) || chr(10)) OR (ends_with(before, chr(10)) AND starts_with(x, chr(10))) AS blank, regexp_matches(x, '[.!?]["'')\]]*[ \t\n\x0b\f\r]') OR (regexp_matches(x, '[.!?]["'')\]]*$') AND regexp_matches(after, '^[ \n\t]')) AS sentence FROM w),
+c AS (SELECT doc_id, n, i, solid, 'b' AS kind FROM m WHERE blank AND i < n UNION ALL SELECT doc_id, n, i, solid, 's' FROM m WHERE sentence AND i < n),
+k AS (SELECT * FROM c QUALIFY solid > lag(solid, 1, 0) OVER (PARTITION BY doc_id, kind ORDER BY i)),
+t AS (SELECT doc_id, max(solid) AS total FROM m GROUP BY doc_id),
+f AS (SELECT doc_id, kind, list(i ORDER BY i) AS ends FROM (SELECT k.*, total FROM k JOIN t USING (doc_id)) WHERE solid < total GROUP BY ALL),
+r AS (SELECT doc_id, len(a) AS n, list_append(coalesce(b.ends, []), len(a)) AS b, list_append(coalesce(s.ends, []), len(a)) AS s FROM p LEFT JOIN (SELECT * FROM f WHERE kind = 'b') b USING (doc_id) LEFT JOIN (SELECT * FROM f WHERE kind = 's') s USING (doc_id))
+SELECT doc_id, CASE WHEN n = 0 THEN '' ELSE array_to_string(CASE WHEN len(b) < 3 AND len(s) > len(b) THEN s ELSE b END, ',') END AS bounds FROM r""")
 def _(s, d):
     pieces = F.regexp_extract_all("text", F.lit(r"\s?\S+\s*?(?=\s|$)|\s+"), F.lit(0))
     return read_table(s, d, "documents").select("doc_id", F.array_join(A.step_bounds(pieces).cast("array<string>"), ",").alias("bounds"))

@@ -7,6 +7,7 @@ they lose or repeat a request.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
@@ -47,6 +48,8 @@ def as_number(text: str) -> Fraction | None:
         if t.removeprefix("-").startswith(name) and t.endswith("}"):
             top, _, bottom = t.removeprefix("-")[len(name) : -1].partition("}{")
             t = ("-" if t.startswith("-") else "") + f"{top}/{bottom}"
+    if re.search(r"e[+-]?\d{4}", t):  # a number of that size would take its power of ten written out
+        return None
     try:
         return Fraction(t)
     except (ValueError, ZeroDivisionError):
@@ -157,6 +160,16 @@ def complete(requests: DataFrame, results: DataFrame, key: str = "rid") -> DataF
     return requests.join(results, key)
 
 
+def graded(verifier: str, gold: str, anchor: str = "anchor_text", completion: str = "continuation_text") -> Callable[[DataFrame], DataFrame]:
+    """Fills ``correct`` by the verifier on anchor and continuation together; for the gate chain's ``grade``."""
+
+    def run(df: DataFrame) -> DataFrame:
+        whole = F.concat(F.coalesce(anchor, F.lit("")), F.coalesce(completion, F.lit("")))
+        return verdict(df, verifier, F.col(gold), whole, "__v").withColumn("correct", F.col("__v.correct")).drop("__v")
+
+    return run
+
+
 def reward(df: DataFrame, verifier: str, gold: str, anchor: str, completion: str) -> DataFrame:
     """1.0 where the verifier accepts anchor and completion together, else 0.0."""
     whole = F.concat(F.coalesce(anchor, F.lit("")), F.coalesce(completion, F.lit("")))

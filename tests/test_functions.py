@@ -1,6 +1,7 @@
 """Values that fix the meaning of functions, aggregates, gates and rankings."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,7 +104,7 @@ def test_gates(spark):
     df = spark.createDataFrame([("q", *r) for r in rows], "qid string, attempt_idx long, continuation_text string, correct boolean, external_context string, n long")
     out = gates.run_gates(df, ["correctness", "no_external_context", "length", "dedup", "leakage_rules"], {"max_total_len": 10, "length_column": "n"}, ["attempt_idx"], ["continuation_text"])
     got = {r.attempt_idx: r.reject_key for r in out.collect()}
-    assert got == {1: "leakage_rules:leak", 2: None, 3: "dedup:duplicate", 4: "correctness:ungraded", 5: "leakage_rules:leak", 6: "no_external_context:external_context", 7: "length:too_long", 8: "correctness:incorrect"}
+    assert got == {1: "leakage_rules:pattern", 2: None, 3: "dedup:duplicate", 4: "correctness:ungraded", 5: "leakage_rules:pattern", 6: "no_external_context:external_context", 7: "length:too_long", 8: "correctness:incorrect"}
     with pytest.raises(KeyError):
         gates.run_gates(df, ["nope"], {}, ["attempt_idx"])
 
@@ -230,3 +231,59 @@ def test_cyclic_neighbour_without_one_task(spark):
     assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
     ids = [r.id for r in n.orderBy("at", "id").collect()]
     assert {r.id: r.nxt for r in out.collect()} == {a: None if b == 50 else b for a, b in zip(ids, ids[1:] + ids[:1])}
+
+
+@pytest.mark.parametrize(
+    "rewards,window,patience,gain,want",
+    [
+        ([0.1, 0.3, 0.3, 0.305], 1, 2, 0.01, (0.3, 2, 3)),
+        ([1.0], 1, 3, 0.01, (None, 0, 0)),
+        ([0.1, 1.0, 0.2], 3, 3, 0.0, (None, 0, 1)),
+        ([0.5, 0.1, 0.1, 0.1], 3, 2, 0.0, (0.7 / 3, 1, -1)),
+        ([], 2, 1, 0.0, (None, 0, -1)),
+    ],
+)
+def test_plateau(spark, rewards, window, patience, gain, want):
+    z = one(spark, K.plateau(arr(rewards), window, patience, gain))
+    assert (z["best"] if want[0] is None else pytest.approx(z["best"])) == want[0] and (z["stale"], z["stop_at"]) == want[1:]
+
+
+def test_quoted_is_repr(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab'\"\\\n\r\t\x00\x1b\x7f\xa0\xad é漢\u200b\u2028\u3000🙂\U000e0001$") for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    texts += [r"\frac{1}{2}", "it's", 'say "it\'s"', ""]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.quoted("t").alias("q")).collect()
+    for r in got:
+        assert r.q == repr(r.t)
+
+
+def test_very_small_probabilities(spark):
+    m = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    assert one(spark, A.union_kl(m({"a": -0.1, "b": -900.0}), m({"a": -0.1, "c": -900.0}), -950.0)) == pytest.approx(0)
+    assert one(spark, A.union_kl(m({"a": -900.0}), m({"a": -900.0}), -900.0)) == pytest.approx(0)
+    p, q = {"a": math.log(0.9), "b": math.log(0.1)}, {"a": math.log(0.5), "b": math.log(0.5)}
+    assert one(spark, A.union_kl(m(p), m(q), -20.0)) == pytest.approx(0.9 * math.log(1.8) + 0.1 * math.log(0.2))
+
+
+def test_nulls_never_win_and_lookups_never_multiply(spark):
+    df = spark.createDataFrame([(1, 1, None), (1, 2, 0.5), (1, 3, 0.1)], "qid long, attempt_idx long, c double")
+    assert [r.attempt_idx for r in K.keep_k(df, ["qid"], ["c", "attempt_idx"], 2).orderBy("attempt_idx").collect()] == [2, 3]
+    assert not one(spark, P.mean_at_least(F.lit(None).cast("array<double>"), -5)) and one(spark, P.mean_at_least(arr([-1.0, None]), -5))
+    left = spark.createDataFrame([(1, "x")], "k long, t string")
+    twice = spark.createDataFrame([(1, "b"), (1, "a")], "k long, v string")
+    assert [r.v for r in joins.with_fallback(left, twice, spark.createDataFrame([("x", "z")], "t string, v string"), ["k"], ["t"], "v").collect()] == ["a"]
+
+
+def test_ungraded_rows_are_graded_lazily(spark):
+    rows = [(1, 0, "5", "", "\\boxed{5}", None), (1, 1, "5", "", "\\boxed{6}", None), (1, 2, "5", "", "never read", True)]
+    df = spark.createDataFrame(rows, "qid long, attempt_idx long, gold string, anchor_text string, continuation_text string, correct boolean")
+    out = gates.run_gates(df, ["correctness"], {}, ["attempt_idx"], grade=seams.graded("math_strict", "gold"))
+    assert {r.attempt_idx: r.reject_key for r in out.collect()} == {0: None, 1: "correctness:incorrect", 2: None}
+    assert seams.as_number("1e999999999") is None and seams.as_number("1e3") == 1000
+
+
+def test_refit_rows_replace_also_where_they_gave_nothing(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "q long, v string")
+    new = spark.createDataFrame([(2, "B")], "q long, v string")
+    redone = spark.createDataFrame([(2,), (3,)], "q long")
+    assert sorted(map(tuple, joins.replaced(old, new, ["q"], redone).collect())) == [(1, "a"), (2, "B")]
