@@ -40,8 +40,13 @@ def escape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    """As ``escape``; a line break in a role is marked too, for the role ends at the first bare one."""
-    return F.regexp_replace(escape(role), "\n", "\\\\\n")
+    """As ``escape``; a line break in a role becomes a backslash and an n, for the role ends at the first line break."""
+    return F.replace(escape(role), F.lit("\n"), F.lit("\\n"))
+
+
+def unescape_role(role: Column) -> Column:
+    parts = F.transform(F.split(role, r"\\\\"), lambda x: F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit("\\"), F.lit("")))
+    return F.array_join(parts, "\\")
 
 
 def unescape(text: Column) -> Column:
@@ -89,8 +94,8 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
 def parse(formatted: Column) -> Column:
     """array<struct<role, text>> of a rendered conversation."""
     each = F.filter(F.split(formatted, r"<\|turn\|>"), lambda s: s != "")
-    shape = r"(?s)^((?:[^\\\n]|\\.)*)\n(.*)<\|end\|>\n$"
-    return F.transform(each, lambda s: F.struct(unescape(F.regexp_extract(s, shape, 1)).alias("role"), unescape(F.regexp_extract(s, shape, 2)).alias("text")))
+    shape = r"(?s)^([^\n]*)\n(.*)<\|end\|>\n$"
+    return F.transform(each, lambda s: F.struct(unescape_role(F.regexp_extract(s, shape, 1)).alias("role"), unescape(F.regexp_extract(s, shape, 2)).alias("text")))
 
 
 def loss_texts(formatted: Column, spans: Column) -> Column:
@@ -98,9 +103,26 @@ def loss_texts(formatted: Column, spans: Column) -> Column:
 
 
 def turns_as_events(rows: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as an event log. Rows that repeat a turn's number stay apart."""
+    """A table of finished turns (conv_id, turn, role, text) as the event log that could have led to it.
+
+    By a hash, a turn is streamed (an empty start and three deltas), edited (a wrong draft, an edit, the
+    rest as a delta) or generated again (a wrong draft and a wrong turn after it, taken back, then two parts). Rows
+    that repeat a turn's number stay apart.
+    """
     again = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    return rows.select("conv_id", (F.row_number().over(again) - 1).cast("bigint").alias("turn"), F.lit(0).cast("bigint").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    turns = rows.select("conv_id", (F.row_number().over(again) - 1).cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    third = F.floor(F.length("text") / 3).cast("int")
+    one, two, three = F.substring("text", F.lit(1), third), F.substring("text", third + 1, third), F.substring("text", 2 * third + 1, F.length("text"))
+
+    def event(step: int, kind: str, text: Column, later: int = 0) -> Column:
+        return F.struct((F.col("turn") + later).alias("turn"), (F.col("turn") * 8 + step).alias("seq"), F.lit(kind).alias("kind"), F.col("role"), text.alias("text"))
+
+    nothing, draft = F.lit(""), F.lit("draft <|end|>")
+    streamed = F.array(event(0, "message", nothing), event(1, "delta", one), event(2, "delta", two), event(3, "delta", three))
+    edited = F.array(event(0, "message", draft), event(1, "delta", two), event(2, "edit", one), event(3, "delta", F.concat(two, three)))
+    regenerated = F.array(event(0, "message", draft), event(1, "delta", one), event(2, "message", draft, 1), event(3, "delta", one, 1), event(4, "regenerate", F.concat(one, two)), event(5, "delta", three))
+    way = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
+    return turns.select("conv_id", F.explode(F.when(way == 0, streamed).when(way == 1, edited).otherwise(regenerated)).alias("e")).select("conv_id", "e.*")
 
 
 def digests(rows: DataFrame) -> DataFrame:

@@ -60,3 +60,19 @@ def test_digests(spark):
     (r,) = chat.digests(df).collect()
     assert tuple(r)[:5] == (1, 2, hashlib.sha256("user\na\nassistant\nb é\n".encode()).hexdigest(), 3, hashlib.sha256("b é".encode()).hexdigest())
     assert chat.digests(df.where("false")).count() == 0
+
+
+def test_turns_become_a_log_that_needs_folding(spark):
+    rows = [(c, t, ["user", "assistant"][t % 2], f"text {c} é {t} " * (t % 4), "") for c in range(20) for t in range(6)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq string")
+    log = chat.turns_as_events(df)
+    assert {r.kind: r.n for r in log.groupBy("kind").agg(F.count("*").alias("n")).collect()}.keys() == {"message", "delta", "edit", "regenerate"}
+    back = sorted((r.conv_id, r.turn, r.role, r.text) for r in chat.final_messages(log).collect())
+    assert back == sorted(r[:4] for r in rows)
+
+
+def test_very_long_roles(spark):
+    roles = ["r" * 1_000_000, "\\\n" * 50_000, "a\nb\\n" * 1000, "\n", "\\"]
+    df = spark.createDataFrame([(i, 0, r, "t") for i, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+    out = chat.render(chat.final_messages(chat.turns_as_events(df))).select("conv_id", chat.parse(F.col("formatted")).alias("turns"))
+    assert {r.conv_id: [tuple(t) for t in r.turns] for r in out.collect()} == {i: [(r, "t")] for i, r in enumerate(roles)}
