@@ -306,9 +306,21 @@ def read_pages(df: DataFrame, media_col: str = "media", id_col: str = "doc_id")
 _ROW = 576  # bytes in a row of pixels: 192 pixels of three samples
 
 
-def text_images(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", compression: int = DEFLATE, predictor: int = 1) -> DataFrame:
-    """(doc_id, n_bytes, media): each text's UTF-8 bytes, filled up with 255, as one page of 192 RGB pixels a row."""
+#: (compression, predictor, tile, byte order, pages) of a stored text, chosen by its checksum; most are deflated.
+LAYOUTS = [
+    (DEFLATE, 1, None, "<", 1), (DEFLATE, 1, None, ">", 2), (DEFLATE, 1, (16, 64), "<", 1), (DEFLATE, 1, None, "<", 3), (DEFLATE, 1, (32, 96), ">", 2), (DEFLATE, 1, None, "<", 1),
+    (DEFLATE, 1, None, ">", 1), (DEFLATE, 1, None, "<", 2), (DEFLATE, 1, (16, 192), "<", 3), (DEFLATE, 2, None, "<", 1), (DEFLATE, 2, (16, 64), ">", 2),
+    (LZW, 1, None, "<", 2), (LZW, 2, (16, 96), ">", 1), (PACKBITS, 1, None, ">", 2), (PACKBITS, 2, None, "<", 1), (NONE, 1, None, ">", 1),
+]
+
+
+def text_images(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layouts: list[tuple] | None = None) -> DataFrame:
+    """(doc_id, n_bytes, media): each text's UTF-8 bytes, filled up with 255, as pages of 192 RGB pixels a row.
+
+    Equal texts have equal layouts. A text with fewer rows than its layout has pages gets a page for each row.
+    """
     ship(docs.sparkSession)
+    forms = layouts or LAYOUTS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -316,8 +328,10 @@ def text_images(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for t in b["text"]:
                 data = (t or "").encode("utf-8", "surrogatepass")
                 rows = max(1, -(-len(data) // _ROW))
+                compression, predictor, tile, order, n = forms[zlib.crc32(data) % len(forms)]
+                image = np.frombuffer(data.ljust(rows * _ROW, b"\xff"), np.uint8).reshape(rows, _ROW // 3, 3)
                 sizes.append(len(data))
-                media.append(write([np.frombuffer(data.ljust(rows * _ROW, b"\xff"), np.uint8).reshape(rows, _ROW // 3, 3)], compression, predictor))
+                media.append(write(np.array_split(image, min(n, rows)), compression, predictor, 64, tile, order))
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": sizes, "media": media})
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, n_bytes long, media binary")

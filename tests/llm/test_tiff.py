@@ -59,3 +59,27 @@ def test_query_digests(spark):
         full = data.ljust(max(1, -(-len(data) // 576)) * 576, b"\xff")
         assert (r.n_bytes, r.payload_bytes) == (len(data), len(full)) and r.payload_sha256 == hashlib.sha256(full).hexdigest() and r.tail_crc32 == zlib.crc32(full[-32:]) and r.feature
     assert tiff.store_and_read(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_are_spread_over_all_layouts(spark):
+    rows = [(i, f"text {i} é " * (i % 90)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    stored = tiff.text_images(df)
+    found = tiff.read_pages(stored).collect()
+    assert {r.compression for r in found} == {tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS}
+    assert {r.predictor for r in found} == {1, 2} and {r.page for r in found} == {0, 1, 2} and not any(r.error for r in found)
+    joined = {}
+    for r in sorted(found, key=lambda r: (r.doc_id, r.page)):
+        joined[r.doc_id] = joined.get(r.doc_id, b"") + bytes(r.pixels)
+    media = {r.doc_id: bytes(r.media) for r in stored.collect()}
+    got = {r.doc_id: r for r in tiff.media_digests(stored).collect()}
+    for i, t in rows:
+        data = t.encode()
+        assert joined[i] == data.ljust(max(1, -(-len(data) // 576)) * 576, b"\xff")
+        assert (got[i].media_bytes, got[i].media_sha256) == (len(media[i]), hashlib.sha256(media[i]).hexdigest())
+        image = np.frombuffer(joined[i], np.uint8).reshape(-1, 3)
+        pages = [p for p in found if p.doc_id == i]
+        assert len(got[i].feature.split(";")) == len(pages)
+        if len(pages) == 1:
+            size, means, _ = got[i].feature.split(":")
+            assert size == f"192x{len(image) // 192}" and means == ",".join(str(int(m)) for m in image.astype(int).sum(0) * 1000 // len(image))
