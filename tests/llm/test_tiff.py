@@ -62,7 +62,7 @@ def test_query_digests(spark):
 
 
 def test_texts_are_spread_over_all_layouts(spark):
-    rows = [(i, f"text {i} é " * (i % 90)) for i in range(400)]
+    rows = [(i, f"text {i} é " * (i % 200)) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     stored = tiff.text_images(df)
     found = tiff.read_pages(stored).collect()
