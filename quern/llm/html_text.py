@@ -16,7 +16,7 @@ one. Where such nodes hold more than half of the characters of a host's distinct
 copies of each other, and nothing in them is template.
 
 Defined results: null or empty html gives an empty text. A page cut short gives what is there: an
-unfinished tag or comment is no text. Deeply nested elements are held at depth ``_DEPTH``; their text stays.
+unfinished tag or comment is no text. The blocks of elements nested deeper than ``_DEPTH`` are blocks of the element at that depth.
 Pages with a null or odd url share one host. Rows that repeat a page_id are separate pages.
 """
 
@@ -27,6 +27,7 @@ import html as entities
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,12 +48,14 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:\"([^\"]*)\"|'([^']*)'|([^ \t\n\f\r>\"'][^ \t\n\f\r>]*))?)?+")
 _RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes template".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var audio canvas map object picture video math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 _BLOCK_START_CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul dd dt".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "thead", "tbody")}
 _WALLS = frozenset("html body article section div main nav aside footer header table ul ol dl td th blockquote form figure button".split())
-_BOILER_TAGS = frozenset("nav footer aside form button select option dialog menu search svg math canvas object applet audio video head".split())
+_BOILER_TAGS = frozenset("nav footer aside form button select option dialog menu search svg head".split())
 _BOILER_NAMES = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promos?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|side-?bar|menus?|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-?header|page-?header|topbar|toolbar|comments?|respond|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|pagination|pager|skip-?link|widget)(?:$|[-_\s])", re.I)
+#: Inside a marked article only names of what the page's frame is made of; a share price or a search result may be content.
+_FRAME_NAMES = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promos?|cookies?|consent|gdpr|notices?|side-?bar|menus?|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-?header|page-?header|comments?|respond|replies|disqus)(?:$|[-_\s])", re.I)
 _BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 _DEPTH = 120
 
@@ -72,22 +75,31 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)}
 
 
-def _is_boiler(tag: str, attributes: dict[str, str]) -> bool:
+def _is_boiler(tag: str, attributes: dict[str, str], inside: bool = False) -> bool:
     if tag in _BOILER_TAGS or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
         return True
     if attributes.get("role", "").lower() in _BOILER_ROLES or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
         return True
-    return tag not in ("body", "html", "main") and bool(_BOILER_NAMES.search(f"{attributes.get('class', '')} {attributes.get('id', '')}"))
+    return tag not in ("body", "html", "main") and bool((_FRAME_NAMES if inside else _BOILER_NAMES).search(f"{attributes.get('class', '')} {attributes.get('id', '')}"))
 
 
 def parse(html: str) -> Node:
-    """The tree of block elements and marked inline elements; plain inline elements leave no node."""
+    """The tree of block elements and marked inline elements; plain inline elements leave no node.
+
+    Below ``_DEPTH`` an element is open as any other, but its content goes to the last node above, set off by
+    rules; what is left out keeps a node of its own there.
+    """
     root = Node("#root")
     stack, at, n = [root], 0, len(html)
+    opened: Counter[str] = Counter()
     find = _TOKEN.search
 
     def close(upto: int) -> None:
+        deep = len(stack) > _DEPTH
+        opened.subtract(x.tag for x in stack[upto:])
         del stack[upto:]
+        if deep:
+            stack[-1].content.append(Node("hr"))
 
     def open_place(tags: tuple[str, ...] | frozenset, walls: frozenset) -> int:
         for k in range(len(stack) - 1, 0, -1):
@@ -110,7 +122,7 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag in _INLINE and not any(x.tag == tag for x in stack[1:]):
+            if not opened[tag]:
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
@@ -126,7 +138,7 @@ def parse(html: str) -> Node:
             stack[-1].content.append(Node("hr") if tag == "hr" else " " if tag == "br" else "")
             continue
         attributes = _attributes(m[3]) if m[3] else {}
-        boiler = _is_boiler(tag, attributes)
+        boiler = _is_boiler(tag, attributes, bool(opened["article"] or opened["main"]))
         if tag in _INLINE and not boiler:
             continue
         if tag in _BLOCK_START_CLOSES_P and (k := open_place(("p",), _WALLS)):
@@ -134,11 +146,15 @@ def parse(html: str) -> Node:
         if tag in _CLOSES and (k := open_place(_CLOSES[tag], frozenset(("ul", "ol", "dl", "table", "select")))):
             close(k)
         node = Node(tag, attributes.get("class", ""), boiler)
-        stack[-1].content.append(node)
+        if len(stack) >= _DEPTH and (not boiler or len(stack) > _DEPTH and stack[-1].boiler):
+            stack[-1].content.append(Node("hr"))
+            node.content, node.boiler = stack[-1].content, len(stack) > _DEPTH and stack[-1].boiler
+        else:
+            stack[-1].content.append(node)
         if m[3].endswith("/") and tag in ("svg", "path"):
             continue
-        if len(stack) < _DEPTH:
-            stack.append(node)
+        stack.append(node)
+        opened[tag] += 1
     return root
 
 
