@@ -134,8 +134,7 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, first: int, least: int = 8, round
     kind = np.uint64 if wide else np.uint32
     shift = kind(32 if wide else 16)
     seq = ids.astype(np.uint32 if wide else np.uint16)
-    last = np.zeros(len(seq), bool)
-    last[ends] = True
+    ends = np.asarray(ends, np.int64)
     left, right = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
     following, done = first, 0
     while rounds is None or done < rounds:
@@ -144,7 +143,8 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, first: int, least: int = 8, round
         if room <= 0 or len(seq) < 2:
             break
         keys = seq[:-1].astype(kind) << shift | seq[1:]
-        inside = ~last[:-1]
+        inside = np.ones(len(keys), bool)
+        inside[ends[:-1]] = False
         pairs = _frequent(keys[inside], least, _SLOTS // 16)
         if not len(pairs):
             break
@@ -159,28 +159,29 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, first: int, least: int = 8, round
         hit = np.flatnonzero((table[at] == keys) & inside)
         order = rank[at[hit]]
         # In a run of one symbol every second pair is taken; of other neighbours that overlap, the better rank.
-        same = np.zeros(len(hit), bool)
-        same[1:] = (np.diff(hit) == 1) & (order[:-1] == order[1:])
+        touch = np.diff(hit) == 1
+        same = touch & (order[:-1] == order[1:])
         if same.any():
             places = np.arange(len(hit))
-            odd = (places - np.maximum.accumulate(np.where(same, 0, places))) & 1 == 1
-            hit, order = hit[~odd], order[~odd]
-        touch = np.diff(hit) == 1
-        lose = np.zeros(len(hit), bool)
-        lose[1:] |= touch & (order[:-1] < order[1:])
-        lose[:-1] |= touch & (order[1:] < order[:-1])
-        hit, order = hit[~lose], order[~lose]
+            runs = np.maximum.accumulate(np.where(np.concatenate([[False], same]), 0, places))
+            order[(places - runs) & 1 == 1] = len(pairs)
+        stay = np.ones(len(hit), bool)
+        stay[1:] &= ~(touch & (order[:-1] < order[1:]))
+        stay[:-1] &= ~(touch & (order[1:] < order[:-1]))
         # A pair that lost nearly all its places to better ones waits; the best one never does.
-        often = np.bincount(order, minlength=len(pairs)) >= least // 2
-        often[0] = True
+        often = np.bincount(order[stay], minlength=len(pairs) + 1) >= least // 2
+        often[0], often[len(pairs)] = True, False
         often[np.flatnonzero(often)[room:]] = False
-        hit, order = hit[often[order]], order[often[order]]
-        used, order = np.unique(order, return_inverse=True)
-        seq[hit] = (following + order).astype(seq.dtype)
-        last[hit] = last[hit + 1]
+        stay &= often[order]
+        hit, order = hit[stay], order[stay]
+        taken = np.zeros(len(pairs), bool)
+        taken[order] = True
+        used = np.flatnonzero(taken)
+        seq[hit] = (following + np.cumsum(taken) - 1).astype(seq.dtype)[order]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
-        seq, last = seq[keep], last[keep]
+        seq = seq[keep]
+        ends = ends - np.searchsorted(hit, ends, "left")  # what is taken before or at an end moves it
         chosen = pairs[used]
         left.append((chosen >> shift).astype(np.uint32))
         right.append((chosen & kind((1 << int(shift)) - 1)).astype(np.uint32))

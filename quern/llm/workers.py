@@ -15,6 +15,7 @@ def held(key: Any, make: Callable[[], Any]) -> Any:
     if key not in _held:
         release()
         _held[key] = make()
+        gc.freeze()  # its tables live on and hold no cycles: the collector need not walk them
     return _held[key]
 
 
@@ -22,6 +23,7 @@ def release() -> None:
     """Gives back what is held, to the operating system too where the C library can do that."""
     if _held:
         _held.clear()
+        gc.unfreeze()
         gc.collect()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim:
