@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
-_MODULES: list[str] = ["quern.plans.queries"]
+_MODULES: list[str] = ["quern.plans.queries", "quern.plans.flow_queries"]
 
 
 def query(name: str, sql: str | None = None):

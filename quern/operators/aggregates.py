@@ -157,6 +157,16 @@ def alpha_survival(curve: DataFrame, tau: float) -> DataFrame:
     return curve.groupBy("alpha").agg(F.avg("p_hat").alias("p_hat_mean"), F.count_if(F.col("p_hat") >= tau).alias("n_survive"))
 
 
+def alpha_star_histogram(stars: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(alpha_star, n) over questions that have candidates."""
+    return stars.join(candidates.select("qid").distinct(), "qid", "left_semi").groupBy("alpha_star").agg(F.count(F.lit(1)).alias("n"))
+
+
+def class_counts(joined: DataFrame) -> DataFrame:
+    """(difficulty, n) of a joined table."""
+    return joined.groupBy("difficulty").agg(F.count(F.lit(1)).alias("n"))
+
+
 def at_alpha_star(candidates: DataFrame, stars: DataFrame) -> DataFrame:
     return candidates.join(stars.select("qid", F.col("alpha_star").alias("alpha")), ["qid", "alpha"])
 

@@ -24,6 +24,35 @@ PRESETS = {
 }
 
 
+#: Where known public benchmarks are and what is taken of them. Fixed values.
+BENCHMARKS = {
+    "aime24": {"hf_name": "HuggingFaceH4/aime_2024", "split": "train"},
+    "aime25": {"hf_name": "yentinglin/aime_2025", "split": "train"},
+    "aime26": {"hf_name": "MathArena/aime_2026", "split": "train"},
+    "hmmt25": {"hf_name": "MathArena/hmmt_feb_2025", "split": "train"},
+    "math500": {"hf_name": "HuggingFaceH4/MATH-500", "split": "test"},
+    "math500_hard": {"hf_name": "HuggingFaceH4/MATH-500", "split": "test", "min_level": 5},
+}
+
+
+def resolve_benchmark(cfg: dict) -> tuple[str, dict]:
+    """(adapter, arguments) of a benchmark: its own adapter, else the preset of its name; own arguments go on top."""
+    name, own = cfg["name"], dict(cfg.get("adapter_args") or {})
+    if cfg.get("adapter"):
+        return cfg["adapter"], {"name": name, **own}
+    if name not in BENCHMARKS:
+        raise KeyError(f"benchmark {name!r} is no preset ({sorted(BENCHMARKS)}) and names no adapter")
+    return "benchmark", {"name": name, **BENCHMARKS[name], **own}
+
+
+def benchmark_questions(raw: DataFrame, cfg: dict, ordinal: str = "row_idx") -> DataFrame:
+    """A benchmark's questions by whichever adapter; no id can be taken for one of the training questions."""
+    adapter, args = resolve_benchmark(cfg)
+    found = ADAPTERS[adapter](raw, args, ordinal)
+    space = f"bench-{cfg['name']}-"
+    return found.withColumn("qid", F.when(F.col("qid").startswith("bench-"), F.col("qid")).otherwise(F.concat(F.lit(space), F.col("qid").cast("string"))))
+
+
 def read_jsonl(spark: SparkSession, path: str, record: str | None = None) -> DataFrame:
     """JSON lines; with a record name, by its schema: unknown fields are ignored, blank lines skipped, bad lines an error."""
     if record is None:
