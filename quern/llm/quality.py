@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.workers import release
+from quern.llm.workers import release, trim
 from quern.session import discard, materialize, ship
 
 _CHUNK = 1 << 20  # bytes of text that are turned into n-grams at once
@@ -139,6 +139,8 @@ def count_table(docs: DataFrame, order: int) -> DataFrame:
                 seen = _Counter()
         if len(seen.settle().keys):
             yield pa.RecordBatch.from_arrays([pa.array(seen.keys), pa.array(seen.counts)], names=["g", "c"])
+        del seen
+        trim()
 
     return docs.select("text", "train").mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
@@ -173,6 +175,8 @@ def blocks(docs: DataFrame, block_mb: int) -> DataFrame:
                         at, size, out = at + 1, 0, None
         if out is not None:
             yield closed()
+        sink = out = None
+        trim()
 
     return docs.select(*_DOC.names).mapInArrow(run, "block long, docs binary")
 
@@ -238,6 +242,8 @@ def scores(docs: DataFrame, known: DataFrame, order: int, block_mb: int) -> Data
                         found.add(keys, np.zeros(len(keys), np.int64))
                 keys = found.settle().keys
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block, np.int64)), pa.array(keys)], names=["asking", "g"])
+                del found, keys
+                trim()
 
     answers = dealt.mapInArrow(ask, "asking long, g long").join(known, "g").select("asking", "g", "nll")
 
@@ -261,6 +267,8 @@ def scores(docs: DataFrame, known: DataFrame, order: int, block_mb: int) -> Data
                     some = np.flatnonzero(sizes[a:z])
                     sums[a + some] = np.add.reduceat(values[at], places[a + some] - places[a])
                 out.append(pa.RecordBatch.from_arrays([r.column("doc_id"), r.column("lang"), r.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(sums)], names=["doc_id", "lang", "text_hash", "n_bytes", "nll"]))
+        del keys, values, by_key
+        trim()
         return pa.Table.from_batches(out).combine_chunks()
 
     return dealt.groupBy("block").cogroup(answers.groupBy("asking")).applyInArrow(score, "doc_id long, lang string, text_hash long, n_bytes long, nll double")
